@@ -34,8 +34,9 @@ def _spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased: a polynomial of random byte values, from prefix sums."""
+def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased or not: a polynomial of random byte values, from prefix sums."""
+    byte = _BYTE[_LOWER] if lower else _BYTE
     parts = []
     at = 0
     while at < len(text):
@@ -53,7 +54,7 @@ def word_hashes(text: bytes) -> np.ndarray:
             inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), _INVERSE, np.uint64)]))
         starts, ends = _spans(data)
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[data]] * powers[: len(data)], out=total[1:])
+        np.cumsum(byte[data] * powers[: len(data)], out=total[1:])
         parts.append(mix((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)))
         at = end
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
