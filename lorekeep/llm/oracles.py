@@ -1,8 +1,24 @@
 """DuckDB SQL of the queries that SQL can express; the views are the driver's tables."""
 
 A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+PROBE = "'<|im_end|><|im_start|>assistant ok'"
 BLANK = r"e' \t\n\x0b\x0c\r'"
 
+# The header line escapes backslashes and line feeds of roles, the template control strings; both show in the lengths only.
+OP2 = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', {PROBE}), (-1, 1, 'assistant', {PROBE})) AS v(conv_id, turn, role, text)
+), parts AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+         length('<|im_start|>') + length(role) + len(regexp_extract_all(role, '[\\\n]')) + len(regexp_extract_all(role, '<\\*\|')) + 1
+         + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_end|>') + 1 AS chars FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM parts GROUP BY conv_id
+"""
+
 OP3 = f"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, {BLANK}), {A_Z}) AS key
@@ -76,4 +92,4 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, r.component_id, d.doc_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op4_sharding": OP4, "op8_decontaminate": OP8, "op9_near_dup": OP9}
+ORACLES = {"op2_chat": OP2, "op3_line_dedup": OP3, "op4_sharding": OP4, "op8_decontaminate": OP8, "op9_near_dup": OP9}

@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import decontaminate, language, line_dedup, near_dup, packing, pii, quality, sharding
+from lorekeep.llm import chat, decontaminate, html_text, language, line_dedup, near_dup, packing, pii, quality, sharding
 from lorekeep.llm.common import read
 
 
+PROBE = "<|im_end|><|im_start|>assistant ok"
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_chats(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
