@@ -50,12 +50,19 @@ def without(df: DataFrame, own: list[str]) -> list[str]:
     return [c for c in df.columns if c not in own]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in small batches, so that few of them are Python objects at a time; then memory goes back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield make(batch)
+        for batch in slices(batches):
+            yield make(batch)
 
     return df.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import utf8, without
+from lorekeep.llm.common import slices, utf8, without
 from lorekeep.llm.hashing import mix
 
 BUCKETS = 1 << 16
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     rows = docs.select(F.struct(*keep).alias("__row"), "text", held_out(F.col("doc_id")).alias("held_out"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lang, score = [], []
             for text in utf8(batch.column(1)):
                 best = model.score(text) if model and has_letter(text) else ("und", 0.0)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,32 +20,113 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialize, utf8
+from lorekeep.llm.common import materialize, slices, utf8
+from lorekeep.llm.hashing import hashed_words
 
 _WORKER: dict = {}
 
 
+_TAIL = b"!#$%&()*+,-./:;=?@[]^_`{|}~\""
+
+
+def _stem(word: bytes) -> tuple[bytes, bytes]:
+    """A word's letters in lower case and the punctuation behind, where the tokenizer folds case and cuts between them.
+
+    That is so behind an ASCII letter and a Latin one of two bytes; a word that may hold a special token stays whole.
+    """
+    if b"<|" in word:
+        return word, b""
+    stem = word.rstrip(_TAIL)
+    last = stem[-1:]
+    if last.isalpha() or stem[-2:-1] == b"\xc3" and last not in b"\x97\xb7":
+        return stem.lower(), word[len(stem) :]
+    return word.lower(), b""
+
+
+class WordTable:
+    """Ids of words, found by two 64-bit hashes: sorted arrays, and a smaller table of what came since they were sorted."""
+
+    def __init__(self, kind: np.dtype, size: int):
+        self.size, self.flat = size, np.zeros(0, kind)
+        self.levels = [np.zeros((4, 0), np.uint64) for _ in range(2)]  # hash, check, start, length
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Start and length (rows) of each word's ids; length 2**63 where it isn't known."""
+        out = np.full((2, hashes.shape[1]), 1 << 63, np.uint64)
+        for level in self.levels:
+            if level.shape[1]:
+                at = np.minimum(np.searchsorted(level[0], hashes[0]), level.shape[1] - 1)
+                hit = (level[0][at] == hashes[0]) & (level[1][at] == hashes[1])
+                out[:, hit] = level[2:, at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        """Takes in words whose ids stand at the end of flat, one after another, unless the table is full."""
+        old, recent = self.levels
+        if old.shape[1] + recent.shape[1] < self.size:
+            self.flat, starts = flat, len(flat) - lengths.sum() + np.cumsum(lengths) - lengths
+            recent = np.concatenate([recent, np.stack([*hashes, starts.astype(np.uint64), lengths.astype(np.uint64)])], axis=1)
+            recent = recent[:, np.argsort(recent[0])]
+            if recent.shape[1] > old.shape[1] // 4:
+                old = np.concatenate([old, recent], axis=1)
+                old, recent = old[:, np.argsort(old[0])], recent[:, :0]
+            self.levels = [old, recent]
+
+
 class WordEncoder:
-    """Ids of texts whose tokenizer never joins across ASCII white space: words are encoded once and remembered."""
+    """Ids of texts whose tokenizer folds case and never joins across ASCII white space: words are encoded once.
+
+    Words are found by hash in numpy, so that Python touches only those that aren't known yet; of them only stems that
+    aren't known go to the tokenizer. The words and stems seen first are remembered, ``words`` and ``stems`` at most.
+    """
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, words: int = 2_000_000, stems: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memory, self.known = memory, {}
+        self.table, self.memory, self.stems = WordTable(self.kind, words), stems, {b"": b""}
+
+    def _encode(self, stems: list[bytes]) -> dict[bytes, bytes]:
+        fresh = {}
+        for at in range(0, len(stems), 4096):
+            part = stems[at : at + 4096]
+            for stem, found in zip(part, self.tokenizer.encode_batch_fast([s.decode() for s in part], add_special_tokens=False), strict=True):
+                fresh[stem] = array(self.kind.char, found.ids).tobytes()
+        return fresh
+
+    def _new(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that the table doesn't know."""
+        stems, pairs = self.stems, [_stem(w) for w in words]
+        fresh = self._encode(list({x for pair in pairs for x in pair if x not in stems}))
+        if len(stems) < self.memory:
+            stems.update(fresh)
+        return [(fresh[a] if a in fresh else stems[a]) + (fresh[b] if b in fresh else stems[b]) for a, b in pairs]
 
     def __call__(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        if len(self.known) > self.memory:
-            self.known = {}
-        known, split = self.known, [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        whole = b" ".join(texts)
+        starts, ends, hashes = hashed_words(whole, lower=False, tables=2)
+        _, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
+        if (hashes[1] != hashes[1][first][back]).any():  # two words with one hash: never seen, but then words by themselves
+            return [b"".join(self._new(t.split())) + end for t in texts]
+        found = self.table.find(hashes[:, first])
+        missing = np.flatnonzero(found[1] == 1 << 63)
+        flat = self.table.flat
+        if len(missing):
+            at = first[missing]
+            ids = self._new([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            lengths = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+            begins = len(flat) + np.cumsum(lengths) - lengths
+            flat = np.concatenate([flat, np.frombuffer(b"".join(ids), self.kind)])
+            found[:, missing] = begins, lengths
+            self.table.add(hashes[:, at], lengths, flat)
+        begin, length = found.astype(np.int64)[:, back]
+        total = np.cumsum(length)
+        every = flat[np.repeat(begin - total + length, length) + np.arange(total[-1] if len(total) else 0)]
+        size = np.cumsum([len(t) + 1 for t in texts])
+        bounds = np.concatenate([[0], total])[np.searchsorted(starts, np.concatenate([[0], size]))].tolist()
+        return [every[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -67,18 +149,16 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, source: str = "source
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, served = _encoder(tokenizer), TaskContext.get().partitionId(), {}
         end = np.array([end_id], encode.kind).tobytes()
-        for batch in batches:
-            rows, queues, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))
-            for a in range(0, len(texts), 500):
-                ids = encode([t or b"" for t in texts[a : a + 500]], end)
-                sizes = [len(x) // encode.kind.itemsize for x in ids]
-                before = []
-                for q, n in zip(queues[a : a + 500], sizes, strict=True):
-                    before.append(served.get(q, 0))
-                    served[q] = before[-1] + n
-                wide = [np.frombuffer(x, encode.kind).astype("<u4").tobytes() if encode.kind.itemsize > 2 else x for x in ids]
-                cols = [pa.array(rows[a : a + 500], pa.int64()), pa.array(queues[a : a + 500], pa.string()), pa.array([part] * len(ids), pa.int64()), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary())]
-                yield pa.record_batch(cols, ["doc_id", "queue", "part", "before", "n", "ids"])
+        for batch in slices(batches, 1000):
+            queues = batch.column(1).to_pylist()
+            ids = encode([t or b"" for t in utf8(batch.column(2))], end)
+            sizes = [len(x) // encode.kind.itemsize for x in ids]
+            before = []
+            for q, n in zip(queues, sizes, strict=True):
+                before.append(served.get(q, 0))
+                served[q] = before[-1] + n
+            cols = [batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int64()), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.record_batch(cols, ["doc_id", "queue", "part", "before", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue_of(docs, source, max_queues).alias("queue"), "text")
     return materialize(rows.mapInArrow(make, "doc_id long, queue string, part long, before long, n long, ids binary"), "tokens")
@@ -124,7 +204,7 @@ class Mixture:
         return rows, at, ends - at, self.place(queue[rows], start[rows] + at) // window
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, source: str = "source", targets: dict[str, float] | None = None, max_queues: int = 1024, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, source: str = "source", targets: dict[str, float] | None = None, max_queues: int = 1024, with_ids: bool = True, max_broadcast: int = 100_000) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, and ids (little-endian, 32 bits).
 
     Every token of every document (its ids and end_id) lies in one piece. Windows are filled to the last but one; the last
@@ -142,6 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, sourc
     number = {q: i for i, q in enumerate(names)}
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = F.broadcast(base) if base.count() <= max_broadcast else base  # queues times parts: not rows, but it grows
     placed = tokens.join(base, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -160,9 +241,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, sourc
         return pa.record_batch(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "queue_no", "p", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                yield cut(batch.slice(a, 1000))
+        for batch in slices(batches, 1000):
+            yield cut(batch)
 
     pieces = placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, queue_no long, p long, ids binary")
     ahead = Window.partitionBy("sequence_id").orderBy("queue_no", "p").rowsBetween(Window.unboundedPreceding, -1)  # a window's pieces

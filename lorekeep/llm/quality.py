@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import utf8, without
+from lorekeep.llm.common import slices, utf8, without
 from lorekeep.llm.hashing import mix, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> ChainField |
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [describe(t or b"").features.tobytes() for t in utf8(batch.column(0))]
             yield pa.record_batch([pa.array(found, pa.binary()), batch.column(1)], ["features", "quality"])
 
@@ -203,7 +203,7 @@ def judge(docs: DataFrame, field: ChainField | None, min_share: float = 0.5) ->
     rows = docs.select(F.struct(*keep).alias("__row"), "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in utf8(batch.column(1)):
                 d = describe(text or b"")

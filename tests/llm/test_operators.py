@@ -216,7 +216,7 @@ def test_word_encoder_equals_the_tokenizer(tokenizer):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer)
-    encode = packing.WordEncoder(tokenizer, memory=5)
+    encode = packing.WordEncoder(tokenizer, words=9, stems=5)
     texts = ["Hello  world!!\n it's 12 o'clock", "", "é é  x　y \x1cz", "ΣΑΣ ΑΣ <|endoftext|> a<|startoftext|>b <|ENDOFTEXT|> x<|endoftext|>", "日本語 text", "don't can't  'll", "Été, ÉTÉ! été... É×! ab…! a÷, Word### word*** WORD, a_b c-d e\u0301, E\u0301! x'", "naïve\u00a0Naïve, 3rd! 3. A1, Ωμέγα; straße! ß?"]
     for text, ids in zip(texts, encode([t.encode() for t in texts], b"\x02\x00"), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
