@@ -2,10 +2,11 @@
 
 Each permutation gives two signature values, its minimum and its maximum over the shingle set; both match between two sets
 with the probability of their Jaccard similarity, so half the hash evaluations of plain MinHash serve as many values. Bands
-of values are bucket keys. Texts with equal words are one class from the start. In a bucket no pairs are listed: rounds of
-pivots link the rest. A pivot is compared with all members of its bucket that aren't in its component yet and then leaves
-the bucket; a bucket whose members are all in one component is finished. Rounds take more pivots each time, until no bucket
-is left, so every pair that shares a bucket ends up either in one component or compared on its full sets.
+of values are bucket keys. Texts with equal words are one class from the start. A bucket's pairs aren't listed. First every
+member is compared with a pivot, the member that has most bucket mates; what links falls into one component. For what is
+left, shingles that few of the texts left hold tell pairs apart. Pairs that share some come from an index of them. Pairs that
+share none are bounded by the counts of other shingles alone, so that whole kinds of members are ruled out at once. So every
+pair that shares a bucket is in one component, ruled out by an exact bound, or compared on its full sets.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from lorekeep.llm.common import map_batches, materialize, utf8
 from lorekeep.llm.hashing import mix, shingle_set, word_hashes
 
 CHUNK = 1 << 15
+RARE = 64  # a shingle is rare if so many of the texts left hold it at most; any number gives the same result
 
 
 def bands_for(threshold: float, miss: float = 1e-7) -> tuple[int, int]:
@@ -164,7 +166,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = full.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "buckets")).alias("rep"))
     classes = materialize(classes.select("text_key", "rep.*"), "classes")
     spread = classes.select(F.explode("buckets").alias("bucket"), "id", "n")
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
     labels = link(docs, materialize(spread.join(shared, "bucket"), "members"), shingle, percent)
     of_class = classes.select("text_key", "id").join(labels, "id", "left").select("text_key", F.coalesce("component", "id").alias("component"))
     found = signed.select(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("text_key")).alias("text_key"), "doc_id", "n_shingles")
@@ -172,29 +174,76 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def rare_shingles(sets: DataFrame, most: int) -> DataFrame:
+    """(id, h, df): the shingles that at most ``most`` sets of the table hold."""
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        every = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+        ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in every])
+        return pa.record_batch([pa.array(ids), pa.array(np.concatenate(every))], ["id", "h"])
+
+    rows = map_batches(sets.select("id", "shingles"), spread, "id long, h long")
+    rare = rows.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") <= most)
+    return rows.join(rare, "h")
+
+
 def link(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Components (id, component) of the ids in ``members`` (bucket, id, n), by rounds of pivots."""
-    spark = docs.sparkSession
+    """Components (id, component) of the ids in ``members`` (bucket, id, n, mates: the bucket's size)."""
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = materialize(_sets(docs.join(wanted, "doc_id", "left_semi"), shingle), "shingles")
-    links, labels = None, spark.createDataFrame([], "id long, component long")
-    live, pivots_a_round = members, 1
-    while True:
-        held = live.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("two"))
+
+    def confirmed(near: DataFrame, other: str) -> DataFrame:
+        pairs = near.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+        return materialize(_confirm(pairs.join(one, "a").join(two, "b"), percent), "links")
+
+    def may_link(n: str, rare: str, n2: str, rare2: str) -> F.Column:
+        """Whether two sets of n shingles, of which they share none of the rare ones, can reach the threshold."""
+        most = F.least(F.col(n) - F.col(rare), F.col(n2) - F.col(rare2))
+        return 100 * most >= percent * (F.col(n) + F.col(n2) - most)
+
+    def by_pivots(live: DataFrame) -> DataFrame:
+        best = live.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"), "id", "n", "component")).alias("p"))
+        pivots = materialize(best.select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2")), "pivots")
+        alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+        return confirmed(live.join(pivots, "bucket").where((F.col("component") != F.col("component2")) & alike), "pivot")
+
+    degree = members.groupBy("id").agg(F.sum("mates").alias("degree"))
+    live = materialize(members.join(degree, "id").select("bucket", "id", "n", "degree", F.col("id").alias("component")), "live")
+    links = by_pivots(live)
+    labels = components(links)
+
+    def left(live: DataFrame) -> DataFrame:
+        """The members of buckets that still hold several components, with their components."""
+        held = live.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        held = materialize(held.join(mixed, "bucket"), "mixed")
-        if not held.limit(1).count():
-            return labels
-        slot = F.pmod(F.xxhash64("id"), F.lit(pivots_a_round))
-        pivots = held.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("p"))
-        pivots = materialize(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component")), "pivots")
-        near = held.join(pivots, "bucket").where((F.col("component") != F.col("pivot_component")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
-        pairs = near.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one"))
-        two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("two"))
-        new = materialize(_confirm(pairs.join(one, "a").join(two, "b"), percent), "links")
-        if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-        live = held.select("bucket", "id", "n").join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
-        pivots_a_round = 2 if pivots_a_round == 1 else pivots_a_round * 4
+        return held.join(mixed, "bucket")
+
+    live = materialize(left(live), "live")
+    links = links.unionByName(by_pivots(live))
+    labels = components(links)
+    live = materialize(left(live), "live")
+    ids = live.groupBy("id").agg(F.min("n").alias("n"), F.min("component").alias("component"))
+    rare = materialize(rare_shingles(sets.join(ids.select("id"), "id", "left_semi"), RARE), "rare")
+    of_id = rare.groupBy("id").agg(F.count("*").alias("rare"))
+    ids = materialize(ids.join(of_id, "id", "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "left-ids")
+
+    # pairs with a rare shingle in common: their overlap is that of rare shingles and at most the lesser count of others
+    mates = ids.select(*[F.col(c).alias(f"{c}2") for c in ids.columns])
+    shared = rare.where("df > 1").select("h", "id")
+    both = shared.join(shared.withColumnRenamed("id", "id2"), "h").where("id < id2").groupBy("id", "id2").agg(F.count("*").alias("common"))
+    both = both.join(ids, "id").join(mates, "id2").where("component <> component2")
+    most = F.col("common") + F.least(F.col("n") - F.col("rare"), F.col("n2") - F.col("rare2"))
+    near = both.where(100 * most >= percent * (F.col("n") + F.col("n2") - most)).select("id", "id2")
+
+    # pairs without: the lesser count of others alone bounds the overlap, so that pairs are ruled out by kinds of members
+    live = materialize(live.select("bucket", "id", "component").join(ids.select("id", "n", "rare"), "id").where(100 * (F.col("n") - F.col("rare")) >= percent * F.col("n")), "live")
+    kinds = materialize(live.groupBy("bucket", "n", "rare").agg(F.min("component").alias("low"), F.max("component").alias("high")), "kinds")
+    other = kinds.select("bucket", *[F.col(c).alias(f"{c}2") for c in kinds.columns[1:]])
+    several = ~((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2")))
+    ordered = F.struct("n", "rare") <= F.struct(F.col("n2").alias("n"), F.col("rare2").alias("rare"))
+    near_kinds = kinds.join(other, "bucket").where(ordered & several & may_link("n", "rare", "n2", "rare2")).select("bucket", "n", "rare", "n2", "rare2")
+    mates = live.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "rare", "component")])
+    bare = live.join(near_kinds, ["bucket", "n", "rare"]).join(mates, ["bucket", "n2", "rare2"]).where("component <> component2 AND id <> id2").select("id", "id2")
+    return components(links.unionByName(confirmed(near.unionByName(bare), "id2")))
