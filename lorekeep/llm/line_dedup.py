@@ -10,7 +10,7 @@ smallest document that holds one keeps its lines. A filter that is too small for
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialize, utf8, without
+from lorekeep.llm.common import materialize, slices, utf8, without
 
 SPACE = b" \t\n\x0b\x0c\r"
 SEGMENT_BITS = 1 << 20
@@ -43,9 +43,9 @@ def positions(digests: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarra
     return segment, np.stack([first, second]).astype(np.uint32)
 
 
-def _filter_rows(hashes: list[int], segments: int) -> pa.RecordBatch:
+def _filter_rows(hashes: list[np.ndarray], segments: int) -> pa.RecordBatch:
     """One row per segment: the sparse bits of hashes seen once at least, and of those seen twice in this task."""
-    found, counts = np.unique(np.array(hashes, np.uint64), return_counts=True)
+    found, counts = np.unique(np.concatenate(hashes), return_counts=True)
     segment, bits = positions(found, segments)
     order = np.argsort(segment, kind="stable")
     segment, bits, twice = segment[order], bits[:, order], counts[order] > 1
@@ -54,25 +54,26 @@ def _filter_rows(hashes: list[int], segments: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "once", "twice"])
 
 
-def twice_filter(docs: DataFrame, filter_bits: int, min_chars: int) -> list[tuple[int, bytes]]:
-    """The compressed segments of the filter of keys that at least two documents hold."""
-    segments = max(1, filter_bits // SEGMENT_BITS)
+def repeated_hashes(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], list[np.ndarray]], segments: int) -> list[tuple[int, bytes]]:
+    """The compressed segments of the filter of hashes that two rows or more hold; hashes_of gives each row's, distinct."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: list[int] = []
-        for batch in batches:
-            for text in utf8(batch.column(0)):
-                hashes += {xxhash.xxh3_64_intdigest(k) for k in line_keys(text or b"", min_chars) if k}
-                if len(hashes) >= 1 << 20:
+        hashes: list[np.ndarray] = []
+        held = 0
+        for batch in slices(batches):
+            for found in hashes_of(batch):
+                hashes.append(found)
+                held += len(found)
+                if held >= 1 << 20:
                     yield _filter_rows(hashes, segments)
-                    hashes = []
-        if hashes:
+                    hashes, held = [], 0
+        if held:
             yield _filter_rows(hashes, segments)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
         twice: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for s, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen = once.setdefault(s, np.zeros(SEGMENT_BITS, bool))
                 again = twice.setdefault(s, np.zeros(SEGMENT_BITS, bool))
@@ -84,9 +85,9 @@ def twice_filter(docs: DataFrame, filter_bits: int, min_chars: int) -> list[tupl
         if packed:
             yield pa.record_batch([pa.array(list(twice), pa.int32()), pa.array(packed, pa.binary())], ["segment", "bits"])
 
-    rows = docs.select("text").mapInArrow(scan, "segment int, once binary, twice binary")
-    merged = rows.repartition(segments, "segment").mapInArrow(merge, "segment int, bits binary")
-    return [(r.segment, bytes(r.bits)) for r in merged.collect()]  # at most filter_bits / 8 bytes
+    parts = rows.mapInArrow(scan, "segment int, once binary, twice binary")
+    merged = parts.repartition(segments, "segment").mapInArrow(merge, "segment int, bits binary")
+    return [(r.segment, bytes(r.bits)) for r in merged.collect()]  # at most segments * SEGMENT_BITS / 8 bytes
 
 
 class Suspects:
@@ -116,10 +117,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = 1 << 28
     """
     spark = docs.sparkSession
     segments = max(1, filter_bits // SEGMENT_BITS)
-    suspect = Suspects(spark.sparkContext.broadcast(twice_filter(docs, filter_bits, min_chars)), segments)
+
+    def hashes_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        keys = ({k for k in line_keys(t or b"", min_chars) if k} for t in utf8(batch.column(0)))
+        return [np.array([xxhash.xxh3_64_intdigest(k) for k in found], np.uint64) for found in keys]
+
+    suspect = Suspects(spark.sparkContext.broadcast(repeated_hashes(docs.select("text"), hashes_of, segments)), segments)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys, owners, hashes = batch.column(0).to_pylist(), [], [], []
             for i, text in zip(ids, utf8(batch.column(1)), strict=True):
                 for key in {k for k in line_keys(text or b"", min_chars) if k}:
@@ -132,13 +138,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = 1 << 28
     owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("owner")
     suspects = materialize(docs.select(owner, "text").mapInArrow(probe, "owner long, key binary"), "line-suspects")
     first = suspects.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last").select("key", "first")
+    first = materialize(first, "line-keys")  # a plain join of two shuffles follows, so that Spark can split a very common line
     drops = suspects.join(first, "key").where("owner > first").groupBy("owner").agg(F.collect_set("key").alias("__drop"))
     keep = without(docs, ["text", "n_lines", "n_dropped"])
     rows = docs.select(F.struct(*keep).alias("__row") if keep else F.lit(None).alias("__row"), "text", owner)
     joined = rows.join(drops, "owner", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, before, dropped = [], [], []
             for text, drop in zip(utf8(batch.column("text")), batch.column("__drop").to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
