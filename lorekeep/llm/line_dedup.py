@@ -9,6 +9,7 @@ smallest document that holds one keeps its lines. A filter that is too small for
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -90,21 +91,29 @@ def repeated_hashes(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], list[
     return [(r.segment, bytes(r.bits)) for r in merged.collect()]  # at most segments * SEGMENT_BITS / 8 bytes
 
 
+_UNPACKED: dict[str, np.ndarray] = {}  # a worker's filter, kept between its tasks
+
+
 class Suspects:
     """Looks hashes up in the broadcast filter; unpacked once in each Python worker."""
 
     def __init__(self, held, segments: int):
-        self.held, self.segments, self.bits = held, segments, None
+        self.held, self.segments, self.name = held, segments, uuid.uuid4().hex
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        if self.bits is None:
-            self.bits = np.zeros(self.segments * SEGMENT_BITS // 8, np.uint8)
+    def _filter(self) -> np.ndarray:
+        if self.name not in _UNPACKED:
+            _UNPACKED.clear()
+            whole = _UNPACKED[self.name] = np.zeros(self.segments * SEGMENT_BITS // 8, np.uint8)
             for s, packed in self.held.value:
                 at = s * SEGMENT_BITS // 8
-                self.bits[at : at + SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
+                whole[at : at + SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        return _UNPACKED[self.name]
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        whole = self._filter()
         segment, bits = positions(hashes, self.segments)
         at = bits.astype(np.int64) + segment.astype(np.int64) * SEGMENT_BITS
-        return ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+        return ((whole[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = 1 << 28) -> DataFrame:
