@@ -17,26 +17,30 @@ ORACLE_SQL = None
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and text, and all columns as they are in one more, so that no name can clash."""
-    return docs.select("doc_id", "text", F.struct("*").alias("row"))
+    """doc_id and text, and all columns but the text in one more, so that no name can clash."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _unpacked(done: DataFrame, docs: DataFrame) -> DataFrame:
+    return done.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the line labels reject go. Labels are those of the folder's table."""
     field = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return quality.judge(_packed(docs), field).where("kept").select("row.*")
+    return _unpacked(quality.judge(_packed(docs), field).where("kept"), docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go, and so do documents that had words and have none left: they were copies."""
     done = line_dedup.dedup_lines(_packed(docs)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_dropped") == 0))
-    return done.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return _unpacked(done, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five words, similarity 0.8 or more, smallest doc_id."""
-    kept = near_dup.near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = near_dup.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id").distinct().alias("k")
+    return docs.alias("d").join(kept, F.expr("CAST(d.doc_id AS BIGINT) <=> k.doc_id"), "left_semi")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

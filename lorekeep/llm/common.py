@@ -50,6 +50,17 @@ def without(df: DataFrame, own: list[str]) -> list[str]:
     return [c for c in df.columns if c not in own]
 
 
+def wrapped(df: DataFrame, payload: str, own: list[str], *more: Column) -> DataFrame:
+    """__row (a struct of the columns that stay, but for the payload), the payload, and more columns, for a Python operator."""
+    keep = [c for c in df.columns if c != payload and c not in own]
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row") if keep else F.lit(0).alias("__row"), payload, *more)
+
+
+def unwrapped(done: DataFrame, df: DataFrame, payload: str, own: list[str]) -> DataFrame:
+    """The columns of df again in their order, but for those named as the operator's own, which follow."""
+    return done.select(*[F.col(c) if c == payload else F.col(f"__row.`{c}`") for c in df.columns if c not in own], *own)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """The rows of a task in small batches, so that few of them are Python objects at a time; then memory goes back."""
     for batch in batches:

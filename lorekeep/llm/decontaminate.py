@@ -46,14 +46,14 @@ def windows_of(benchmark: DataFrame, n: int = 13) -> DataFrame:
     return cut.groupBy("key", "length", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_inline: int = 50_000, max_broadcast: int = 1_000_000) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_inline: int = 50_000, max_broadcast: int = 1_000_000, slim: bool = False) -> DataFrame:
     """One row per input row: its columns, then n_words, n_hit, items (sorted strings), n_items, hits, contaminated.
 
     ``hits`` lists (start, length) in words, sorted. A word is hit if it lies inside any occurrence of a window. A document
     is contaminated if a word is hit and hit words are 1/20 of its words at least. Null and empty texts have no words and no
     hits; a benchmark without words hits nothing. Items without id count for hits but not in items. Rows of one doc_id
     with one text share a result. Input columns with the names of these are replaced.
-    If doc_id and text are the only columns, repeated rows come out once.
+    With ``slim``, one row per doc_id and text instead, of doc_id, a hash of the text (__text) and the new columns; that saves joining the texts.
     """
     windows = windows_of(benchmark, n)
     held = windows.select("length", "key").distinct().limit(max_broadcast + 1).collect()  # size check: how the windows travel
@@ -101,19 +101,18 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_inline: in
 
     n_hit = F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), cover, lambda acc: acc["n"])
     by_row = by_row.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    if keep == ["doc_id"]:
-        return by_row.select(F.col("__id").alias("doc_id"), *OWN)
-    left = docs.select(*keep, *row).alias("d")
+    if slim:
+        return by_row.select(F.col("__id").alias("doc_id"), "__text", *OWN)
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *row).alias("d")
     match = F.expr("d.__id <=> r.__id AND d.__text = r.__text")
-    return left.join(by_row.alias("r"), match).select(*[F.col(f"d.`{c}`") for c in keep], *[F.col(f"r.{c}") for c in OWN])
+    return left.join(by_row.alias("r"), match).select("row.*", *[F.col(f"r.{c}") for c in OWN])
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, all their columns unchanged."""
-    row = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text")]
-    bad = find_hits(docs.select("doc_id", "text"), benchmark, **options).where("contaminated").select(*row).distinct()
-    kept = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text"))
-    return kept.alias("d").join(bad.alias("b"), F.expr("d.__id <=> b.__id AND d.__text = b.__text"), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    bad = find_hits(docs, benchmark, slim=True, **options).where("contaminated").select(F.col("doc_id").alias("__id"), "__text")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text"))
+    return rows.alias("d").join(bad.alias("b"), F.expr("d.__id <=> b.__id AND d.__text = b.__text"), "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -25,7 +25,8 @@ BLOCKS = set("address article aside blockquote body button caption center dd det
 CONTAINERS = set("html body head div section article main nav header footer aside form ul ol dl table figure dialog menu details fieldset blockquote select button p li".split())
 OUTSIDE = set("head nav footer aside form dialog menu button select fieldset search".split())
 # Words of class, id and role that mark parts beside the article.
-MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification paywall popup promo promoted promotion related reply replies respond share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar widget widgets alert contentinfo complementary search".split())
+MARKS = set("ad adbox ads adsense adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification paywall popup promo promoted promotion related reply replies respond share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar widget widgets alert contentinfo complementary search".split())
+ABOUT = set("with without has have no wrapper wrap layout container".split())  # such a name speaks of what is inside
 OF_ARTICLE = set("article entry post story content page".split())
 
 # Quotes are honoured until a tag's quotes don't close; from there on a tag ends at the next >.
@@ -106,7 +107,9 @@ def _beside(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element opens a part beside the article."""
     if tag in OUTSIDE or tag == "header" and not in_article:
         return True
-    return any(words & MARKS and not (words & OF_ARTICLE and "header" in words) for words in _names(attributes))
+    if tag in ("html", "body"):
+        return False
+    return any(words & MARKS and not words & ABOUT and not (words & OF_ARTICLE and "header" in words) for words in _names(attributes))
 
 
 def _inside(tag: str, attributes: str) -> bool:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import slices, utf8, without
+from lorekeep.llm.common import slices, unwrapped, utf8, wrapped
 from lorekeep.llm.hashing import mix
 
 BUCKETS = 1 << 16
@@ -157,8 +157,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     false where the calibrated score is below the model's bound. Only the text decides. Repeated rows come out each; input
     columns with the names of these are replaced.
     """
-    keep = without(docs, OWN)
-    rows = docs.select(F.struct(*keep).alias("__row"), "text", held_out(F.col("doc_id")).alias("held_out"))
+    rows = wrapped(docs, "text", OWN, held_out(F.col("doc_id")).alias("held_out"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -168,7 +167,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 lang.append(best[0])
                 score.append(best[1])
             accepted = [x != "und" and s >= model.accept for x, s in zip(lang, score, strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], ["__row", *OWN])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], ["__row", "text", *OWN])
 
     kind = rows.schema["__row"].dataType.simpleString()
-    return rows.mapInArrow(make, f"__row {kind}, held_out boolean, lang_pred string, score double, accepted boolean").select("__row.*", *OWN)
+    done = rows.mapInArrow(make, f"__row {kind}, text string, held_out boolean, lang_pred string, score double, accepted boolean")
+    return unwrapped(done, docs, "text", OWN)

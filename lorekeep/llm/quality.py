@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import slices, utf8, without
+from lorekeep.llm.common import slices, unwrapped, utf8, wrapped
 from lorekeep.llm.hashing import mix, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -199,8 +199,7 @@ def judge(docs: DataFrame, field: ChainField | None, min_share: float = 0.5) ->
     A null text has no words and fails. Without a field (no labels of both kinds) every line is content. Repeated rows are
     judged each; an empty table gives an empty one; input columns with the names of these are replaced.
     """
-    keep = without(docs, OWN)
-    rows = docs.select(F.struct(*keep).alias("__row"), "text")
+    rows = wrapped(docs, "text", OWN)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -213,8 +212,8 @@ def judge(docs: DataFrame, field: ChainField | None, min_share: float = 0.5) ->
                 out.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, failed, share, not failed and share >= min_share))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
-            yield pa.record_batch([batch.column(0), *cols], ["__row", *OWN])
+            yield pa.record_batch([batch.column(0), batch.column(1), *cols], ["__row", "text", *OWN])
 
     kind = rows.schema["__row"].dataType.simpleString()
-    schema = f"__row {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
-    return rows.mapInArrow(make, schema).select("__row.*", *OWN)
+    schema = f"__row {kind}, text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
+    return unwrapped(rows.mapInArrow(make, schema), docs, "text", OWN)

@@ -53,7 +53,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = decontaminate.find_hits(docs, read(spark, sf_dir, "benchmark"))
+    hits = decontaminate.find_hits(docs, read(spark, sf_dir, "benchmark"), slim=True)
     return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 

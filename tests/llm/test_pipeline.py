@@ -48,7 +48,7 @@ def test_stages(spark, folder):
 
 def test_stages_on_an_empty_table_and_with_clashing_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    odd = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 AS kept", "2 AS n_dropped", "3 AS w", "4 AS row", "5 AS __kept", "6 AS component_id", "7 AS items")
+    odd = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 AS kept", "2 AS n_dropped", "3 AS w", "4 AS row", "5 AS __kept", "6 AS component_id", "7 AS items", "8 AS __id", "9 AS __text", "10 AS hits")
     for table in (docs.limit(0), odd):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             got = stage(spark, table, folder)
