@@ -39,6 +39,7 @@ class Graph:
     def __init__(self, spark: SparkSession, triples: DataFrame | None = None):
         self.spark = spark
         self.triples = triples if triples is not None else spark.createDataFrame([], TRIPLES)
+        self._stores = {} if triples is not None else None  # whether there are facts, by predicates; None: no facts at all
         self.mapped: dict[str, Mapped] = {}
         self.reasoners: dict[str, Callable[[Pattern], DataFrame]] = {}
         self.sub_properties: dict[str, set[str]] = {}
@@ -90,7 +91,12 @@ class Graph:
         return bindings.union(*known)
 
     def _has_triples(self, names: tuple[str, ...]) -> bool:
-        return bool(self.triples.where(F.col("p").isin(list(names))).limit(1).count())
+        """Looked up once for each predicate; a graph of mapped columns alone needs no job for it."""
+        if self._stores is None:
+            return False
+        if names not in self._stores:
+            self._stores[names] = bool(self.triples.where(F.col("p").isin(list(names))).limit(1).count())
+        return self._stores[names]
 
     def _project(self, pattern: Pattern, facts: DataFrame, s: Column, o: Column, frame: dict[str, Column], with_frame: bool, p: Column | None = None) -> DataFrame:
         terms = [(pattern.s, s), (pattern.o, o)] + ([(pattern.p, p)] if p is not None else [])
