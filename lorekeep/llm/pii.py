@@ -8,6 +8,7 @@ run finds is mapped back to source offsets and added.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -41,8 +42,10 @@ _PLUS = re.compile(r"(?i)(?<![A-Za-z])plus[ \t]+(?=[0-9])")
 _BRACKET_AT = re.compile(r"(?i)[ \t]*[\(\[\{<][ \t]*(?:at|@)[ \t]*[\)\]\}>][ \t]*")
 _BRACKET_DOT = re.compile(r"(?i)[ \t]*[\(\[\{<][ \t]*(?:dot|point|\.)[ \t]*[\)\]\}>][ \t]*")
 _WORDED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:@|[ \t]+at[ \t]+)[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)+")
+_SPACED_OUT = re.compile(r"(?i)[ \t](?:at|dot)[ \t]")
 _SPACED = re.compile(r"(?i)[ \t]+(at|dot)[ \t]+")
-_TRIGGER = re.compile(rf"(?i)[\(\[\{{<][ \t]*(?:at|dot|point|@|\.)[ \t]*[\)\]\}}>]|[ \t]dot[ \t]|(?<![A-Za-z])(?:{_WORD})[ \t,.-]+(?:dot[ \t]+|point[ \t]+)?(?:{_WORD})(?![A-Za-z])|[０-９Ａ-Ｚａ-ｚ＠．＋٠-٩۰-۹०-९{_HIDDEN}{_LOOK}]")
+_BRACKETED = re.compile(r"(?i)[\(\[\{<][ \t]*(?:at|dot|point|@|\.)[ \t]*[\)\]\}>]")
+_FOREIGN = re.compile(r"[^\x00-\x7f]")
 
 
 def _luhn(digits: str) -> bool:
@@ -79,21 +82,25 @@ class Tape:
     """A rewritten text with the source span of each of its characters."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.starts, self.ends = text, range(len(text)), range(1, len(text) + 1)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces [a, b) by a string, for edits in order; each new character stands for the whole piece replaced."""
         text, starts, ends, at = [], [], [], 0
         for a, b, new in edits:
             text += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
+            starts += self.starts[at:a]
+            starts += [self.starts[a]] * len(new)
+            ends += self.ends[at:a]
+            ends += [self.ends[b - 1]] * len(new)
             at = b
         if at:
-            self.text = "".join(text) + self.text[at:]
-            self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
+            starts += self.starts[at:]
+            ends += self.ends[at:]
+            self.text, self.starts, self.ends = "".join(text) + self.text[at:], starts, ends
 
 
+@functools.cache
 def _ascii(c: str) -> str | None:
     """What a character reads as, if that isn't itself."""
     if c in _HIDDEN:
@@ -115,23 +122,33 @@ def _digits(run: str) -> str:
     return "".join(out)
 
 
+def _worded(m: re.Match, tape: Tape, source: str) -> bool:
+    """An address with a worded " at " counts only beside another disguise in it: "a.b at c.d" alone is prose."""
+    return " dot " in re.sub(r"[ \t]+", " ", m[0].lower()) or "@" in m[0] or source[tape.starts[m.start()] : tape.ends[m.end() - 1]] != m[0]
+
+
 def deobfuscate(text: str) -> Tape:
+    """The rewritten text; its ``text`` is the source itself where no transducer changes anything."""
     tape = Tape(text)
     if not text.isascii():
-        tape.rewrite([(i, i + 1, new) for i, c in enumerate(tape.text) if c > "\x7f" and (new := _ascii(c)) is not None])
-    for pattern, new in ((_RUN, lambda m: _digits(m[0])), (_PLUS, lambda m: "+"), (_BRACKET_AT, lambda m: "@"), (_BRACKET_DOT, lambda m: ".")):
+        tape.rewrite([(*m.span(), new) for m in _FOREIGN.finditer(text) if (new := _ascii(m[0])) is not None])
+    for pattern, new in ((_RUN, lambda m: _digits(m[0])), (_PLUS, lambda m: "+")):
         tape.rewrite([(*m.span(), new(m)) for m in pattern.finditer(tape.text)])
-    spaced = [(m.start() + x.start(), m.start() + x.end(), "@" if x[1].lower() == "at" else ".") for m in _WORDED.finditer(tape.text) for x in _SPACED.finditer(m[0])]
-    tape.rewrite(spaced)
+    if _BRACKETED.search(tape.text):
+        for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
+            tape.rewrite([(*m.span(), new) for m in pattern.finditer(tape.text)])
+    if _SPACED_OUT.search(tape.text):
+        spaced = [(m.start() + x.start(), m.start() + x.end(), "@" if x[1].lower() == "at" else ".") for m in _WORDED.finditer(tape.text) if _worded(m, tape, text) for x in _SPACED.finditer(m[0])]
+        tape.rewrite(spaced)
     return tape
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: the base ones and those of the rewritten text that touch none of them."""
     base = detect(text)
-    if not _TRIGGER.search(text):
-        return base, base
     tape = deobfuscate(text)
+    if tape.text == text:
+        return base, base
     taken = [(a, b) for _, a, b in base]
     new = [(k, tape.starts[a], tape.ends[b - 1]) for k, a, b in detect(tape.text)]
     new = [s for s in new if all(s[2] <= a or b <= s[1] for a, b in taken)]

@@ -391,6 +391,23 @@ def test_plain_prose_gains_nothing():
         assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "piece"),
+    [
+        ("call plus 1 202 555 0143 now", "phone", "plus 1 202 555 0143"), ("card 4111－1111－1111－1111", "card", "4111－1111－1111－1111"), ("jane＿doe@ex．org", "email", "jane＿doe@ex．org"),
+        ("ip ๑๙๒.๑.๒.๓", "ip", "๑๙๒.๑.๒.๓"), ("card ৪১১১১১১১১১১১১১১১", "card", "৪১১১১১১১১১১১১১১১"), ("ip 𝟏𝟗𝟐.𝟏.𝟐.𝟑", "ip", "𝟏𝟗𝟐.𝟏.𝟐.𝟑"),
+    ],
+)
+def test_every_transducer_reaches_its_disguises(text, kind, piece):
+    assert (kind, piece) in [(k, text[a:b]) for k, a, b in pii.find(text)[1]]
+
+
+def test_a_worded_at_does_not_depend_on_the_rest_of_the_text():
+    for rest in ["", " – a dash", " and (at) noon", " or nine, one, two"]:
+        assert pii.find("jane at example.com" + rest) == ([], [])
+        assert [s[0] for s in pii.find("jane at example dot com" + rest)[1]] == [s[0] for s in pii.find("jane at example (dot) com" + rest)[1]] == ["email"]
+
+
 def test_pii(odd, empty, spark):
     rows = spark.createDataFrame([(1, "a@b.c 1.2.3.4", "x"), (2, None, None)], "doc_id long, text string, spans string")
     got = {r.doc_id: r for r in pii.find_pii(rows).collect()}
