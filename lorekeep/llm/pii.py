@@ -3,7 +3,7 @@
 Small transducers rewrite a text step by step and keep, for every character they put out, the span of source characters it
 stands for: invisible characters vanish, look-alikes become ASCII, spelled digits become digits, and written-out or
 bracketed "at" and "dot" become @ and a dot. Detectors run on the source and on the rewritten text; what only the second
-run finds is mapped back to source offsets and added.
+run finds is mapped back to source offsets and added, beside the plain match of a part of it.
 """
 
 from __future__ import annotations
@@ -144,14 +144,12 @@ def deobfuscate(text: str) -> Tape:
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans: the base ones and those of the rewritten text that touch none of them."""
+    """Base spans, and all spans: the base ones and those of the rewritten text, also where these hold a part that is a base span."""
     base = detect(text)
     tape = deobfuscate(text)
     if tape.text == text:
         return base, base
-    taken = [(a, b) for _, a, b in base]
     new = [(k, tape.starts[a], tape.ends[b - 1]) for k, a, b in detect(tape.text)]
-    new = [s for s in new if all(s[2] <= a or b <= s[1] for a, b in taken)]
     return base, sorted(set(base + new), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -402,6 +402,13 @@ def test_every_transducer_reaches_its_disguises(text, kind, piece):
     assert (kind, piece) in [(k, text[a:b]) for k, a, b in pii.find(text)[1]]
 
 
+@pytest.mark.parametrize(("text", "part"), [("jo\u200bhn@example.com", "hn@example.com"), ("j\u043ehn@example.com", "hn@example.com"), ("john@mail.ex\u0430mple.com", "john@mail.ex")])
+def test_a_disguise_is_whole_where_a_part_is_plain(text, part):
+    base, spans = pii.find(f"to {text} now")
+    assert [f"to {text} now"[a:b] for _, a, b in base] == [part]
+    assert set(spans) == {*base, ("email", 3, 3 + len(text))}
+
+
 def test_a_worded_at_does_not_depend_on_the_rest_of_the_text():
     for rest in ["", " – a dash", " and (at) noon", " or nine, one, two"]:
         assert pii.find("jane at example.com" + rest) == ([], [])
