@@ -135,14 +135,15 @@ def _encoder(path: str) -> WordEncoder:
     return _WORKER[path]
 
 
-def queue_of(docs: DataFrame, source: str, max_queues: int) -> F.Column:
-    """The queue's name: the source, or one of max_queues hash classes if there are more sources. Null counts as ''."""
+def queue_of(docs: DataFrame, source: str, fold: int | None) -> tuple[F.Column, bool]:
+    """The queue's name: the source, null as ''; or, if asked to fold more sources than that, one of so many hash classes. And whether it is folded."""
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    sources = docs.select(name.alias("q")).distinct().limit(max_queues + 1).count()
-    return name if sources <= max_queues else F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string")
+    if fold is None or docs.select(name.alias("q")).distinct().limit(fold + 1).count() <= fold:
+        return name, False
+    return F.pmod(F.xxhash64(name), F.lit(fold)).cast("string"), True
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, source: str = "source", max_queues: int = 1024) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, queue: F.Column) -> DataFrame:
     """doc_id, queue, part, before, n, ids: each document's ids with end_id behind; ``before`` counts its queue's tokens
     that the same part (a task's slice of the input) holds before it. A table, so that parts stay as they are."""
 
@@ -160,7 +161,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, source: str = "source
             cols = [batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int64()), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.record_batch(cols, ["doc_id", "queue", "part", "before", "n", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue_of(docs, source, max_queues).alias("queue"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), "text")
     return materialize(rows.mapInArrow(make, "doc_id long, queue string, part long, before long, n long, ids binary"), "tokens")
 
 
@@ -173,19 +174,49 @@ class Mixture:
         self.lengths, share = lengths, sum(targets)
         self.weights = [max(1, round(unit * t / share)) for t in targets]
 
+        # queues of one length and weight are served alike: one entry for each such class, with its queues in order
+        order = np.lexsort([lengths, self.weights])
+        kinds = np.stack([np.array(self.weights, np.int64)[order], np.array(lengths, np.int64)[order]])
+        first = np.flatnonzero(np.append(True, (kinds[:, 1:] != kinds[:, :-1]).any(axis=0)))
+        self.classes = [(int(w), int(n), members) for (w, n), members in zip(kinds[:, first].T, np.split(order, first[1:]), strict=True)]
+        self.of = np.array(self.weights, np.int64)
+
     def place(self, queue: np.ndarray, p: np.ndarray) -> np.ndarray:
         """The place in the merged order of token p of each queue; equal finish times go by queue number."""
-        own = np.array(self.weights, np.int64)[queue]
-        place = p.copy()
-        for j, (length, weight) in enumerate(zip(self.lengths, self.weights, strict=True)):
-            done = ((2 * p + 1) * weight + own - (j > queue)) // (2 * own)
-            place += np.where(j == queue, 0, np.minimum(done, length))
+        own = self.of[queue]
+        double, place = 2 * own, p.copy()
+        for weight, length, members in self.classes:
+            ahead = (2 * p + 1) * weight + own
+            if len(members) == 1:
+                j = members[0]
+                place += np.where(j == queue, 0, np.minimum((ahead - (j > queue)) // double, length))
+                continue
+            low = np.searchsorted(members, queue)  # so many of the class have a smaller number
+            inside = members[np.minimum(low, len(members) - 1)] == queue
+            place += low * np.minimum(ahead // double, length) + (len(members) - low - inside) * np.minimum((ahead - 1) // double, length)
         return place
 
+    def slices(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray, window: int, most: int = 1 << 20) -> Iterator[slice]:
+        """The rows in groups that make about ``most`` pieces or less, or of one row."""
+        if n.sum() <= most:
+            yield slice(0, len(n))
+            return
+        pieces = np.minimum(n, self.place(queue, start + n - 1) // window - self.place(queue, start) // window + 1)
+        at, held = 0, 0
+        for i, k in enumerate(pieces.tolist()):
+            if held and held + k > most:
+                yield slice(at, i)
+                at, held = i, 0
+            held += k
+        if held:
+            yield slice(at, len(pieces))
+
     def cuts(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of the token ranges [start, start + n): row, first token (in its range), length, window number."""
         first, last = self.place(queue, start) // window, self.place(queue, start + n - 1) // window
         bounds = last - first
+        thin = bounds >= n  # more borders than tokens: each token by itself
+        bounds = np.where(thin, 0, bounds)
         row = np.repeat(np.arange(len(n)), bounds)
         target = (np.arange(len(row)) - np.repeat(np.cumsum(bounds) - bounds, bounds) + first[row] + 1) * window
         low, high = start[row].copy(), (start + n - 1)[row]
@@ -193,7 +224,13 @@ class Mixture:
             mid = (low + high) // 2
             ahead = self.place(queue[row], mid) >= target
             low, high = np.where(ahead, low, mid + 1), np.where(ahead, mid, high)
-        rows, at = np.concatenate([np.arange(len(n)), row]), np.concatenate([np.zeros(len(n), np.int64), low - start[row]])
+        size = np.where(thin, n, 0)
+        alone = np.repeat(np.arange(len(n)), size)
+        token = np.arange(len(alone)) - np.repeat(np.cumsum(size) - size, size)
+        home = self.place(queue[alone], start[alone] + token) // window
+        border = np.append(False, home[1:] != home[:-1])[: len(home)] & (token > 0)
+        alone, token = alone[border], token[border]
+        rows, at = np.concatenate([np.arange(len(n)), row, alone]), np.concatenate([np.zeros(len(n), np.int64), low - start[row], token])
         order = np.lexsort([at, rows])
         rows, at = rows[order], at[order]
         fresh = np.ones(len(rows), bool)
@@ -204,32 +241,60 @@ class Mixture:
         return rows, at, ends - at, self.place(queue[rows], start[rows] + at) // window
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, source: str = "source", targets: dict[str, float] | None = None, max_queues: int = 1024, with_ids: bool = True, max_broadcast: int = 100_000) -> DataFrame:
+def numbered(queues: DataFrame) -> DataFrame:
+    """queue, n and number: the queues' places by name, from the counts of sorted parts, as a table."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            places = pa.array(np.arange(at, at + batch.num_rows))
+            at += batch.num_rows
+            yield pa.record_batch([*batch.columns, pa.array([part] * batch.num_rows, pa.int64()), places], ["queue", "n", "part", "at"])
+
+    held = materialize(queues.select("queue", "n").orderBy("queue").mapInArrow(count, "queue string, n long, part long, at long"), "queues")
+    sizes = sorted((r.part, r.n) for r in held.groupBy("part").agg(F.count("*").alias("n")).collect())
+    ahead, rows = 0, []
+    for part, n in sizes:
+        rows.append((part, ahead))
+        ahead += n
+    return held.join(F.broadcast(held.sparkSession.createDataFrame(rows, "part long, ahead long")), "part").select("queue", "n", (F.col("at") + F.col("ahead")).alias("number"))
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, source: str = "source", targets: dict[str, float] | None = None, max_queues: int | None = None, with_ids: bool = True, max_broadcast: int = 100_000) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, and ids (little-endian, 32 bits).
 
     Every token of every document (its ids and end_id) lies in one piece. Windows are filled to the last but one; the last
     holds the rest. ``targets`` are weights by queue name, by default the queues' own shares of tokens, which all windows then
-    show; queues without a target get the least one given. With more than max_queues sources, queues are hash classes of
-    sources, so that the table of queues is small. A null text has no ids but end_id; repeated rows are packed each; rows
+    show; queues without a target get the least one given. Every source is a queue, however many there are; only where
+    max_queues is given, more sources than that are folded into so many hash classes, which can't have targets by source.
+    Queues are held by number (a weight and a place in its class each); their names are joined. A null text has no ids but end_id; repeated rows are packed each; rows
     without doc_id are packed too; an empty table gives no piece. Other columns are ignored.
     """
-    tokens = tokenize(docs, tokenizer, end_id, source, max_queues)
+    name, folded = queue_of(docs, source, max_queues)
+    if folded and targets:
+        raise ValueError("targets go by source: they can't be met with sources folded into max_queues classes")
+    tokens = tokenize(docs, tokenizer, end_id, name)
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    held = sorted((r.queue, r.n) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # max_queues rows at most
-    names, lengths = [q for q, _ in held], [n for _, n in held]
-    share = targets or dict(held)
-    mixture = Mixture(lengths or [1], [share.get(q, min(share.values())) for q in names] or [1.0])
-    number = {q: i for i, q in enumerate(names)}
+    queues = numbered(parts.groupBy("queue").agg(F.sum("n").alias("n")))
+    aims = docs.sparkSession.createDataFrame([(q, float(t)) for q, t in (targets or {}).items()], "queue string, target double")
+    held = queues.join(F.broadcast(aims), "queue", "left").select("number", "n", "target").toArrow().sort_by("number")  # two numbers a queue
+    lengths = held["n"].to_pylist()
+    least = min(targets.values()) if targets else 0.0
+    share = [least if t is None else t for t in held["target"].to_pylist()] if targets else lengths
+    mixture = docs.sparkSession.sparkContext.broadcast(Mixture(lengths or [1], share or [1.0]))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    base = F.broadcast(base) if base.count() <= max_broadcast else base  # queues times parts: not rows, but it grows
-    placed = tokens.join(base, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    few = len(lengths) <= max_broadcast
+    queues = F.broadcast(queues) if few else queues
+    base = base.join(queues.select("queue", "number"), "queue")
+    base = F.broadcast(base) if few and base.count() <= max_broadcast else base  # queues times parts: not rows, but it grows
+    placed = tokens.join(base, ["queue", "part"]).select("doc_id", "number", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs_, ids = batch.column(0), batch.column(4).to_pylist()
-        queue = np.array([number[q] for q in batch.column(1).to_pylist()], np.int64)
+        queue = batch.column(1).to_numpy().astype(np.int64)
         start, n = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-        rows, at, length, sequence = mixture.cuts(queue, start, n, window)
+        rows, at, length, sequence = mixture.value.cuts(queue, start, n, window)
         cut_ids, crc, held, own = [], [], -1, None
         for r, a, k in zip(rows.tolist(), at.tolist(), length.tolist(), strict=True):
             if r != held:
@@ -242,14 +307,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, sourc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
-            yield cut(batch)
+            queue, start, n = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
+            for part in mixture.value.slices(queue, start, n, window):
+                yield cut(batch.slice(part.start, part.stop - part.start))
 
     pieces = placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, queue_no long, p long, ids binary")
     ahead = Window.partitionBy("sequence_id").orderBy("queue_no", "p").rowsBetween(Window.unboundedPreceding, -1)  # a window's pieces
-    offset = F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset")
-    queue = F.get(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"), F.col("queue_no").cast("int")).alias("queue")
-    out = pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset, queue, *["ids"] * with_ids)
-    return out
+    offset = F.coalesce(F.sum("length").over(ahead), F.lit(0))
+    names = queues.select(F.col("number").alias("queue_no"), "queue")
+    out = pieces.withColumn("offset", offset).join(F.broadcast(names) if few else names, "queue_no")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", *["ids"] * with_ids)
 
 
 def sequences(pieces: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:

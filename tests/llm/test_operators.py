@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -266,6 +267,33 @@ def test_windows_hold_the_target_mixture(spark, tokenizer):
     assert all(len(r.ids) == 512 or len(r.ids) & (len(r.ids) - 1) == 0 for r in whole)
 
 
+def test_places_of_queues_that_are_served_alike():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        lengths = rng.integers(1, 6, rng.integers(1, 30)).tolist()
+        weights = lengths if rng.integers(2) else rng.integers(1, 4, len(lengths)).tolist()
+        mixture = packing.Mixture(lengths, weights)
+        tokens = [(q, p) for q, n in enumerate(lengths) for p in range(n)]
+        order = sorted(tokens, key=lambda t: (Fraction(2 * t[1] + 1, mixture.weights[t[0]]), t[0]))
+        queue, p = np.array(order).T
+        assert mixture.place(queue, p).tolist() == list(range(len(order)))
+        window, n = 3, np.array(lengths)
+        cut = zip(*(x.tolist() for x in mixture.cuts(np.arange(len(n)), np.zeros(len(n), np.int64), n, window)), strict=True)
+        assert sorted((r, a + k, w) for r, a, size, w in cut for k in range(size)) == sorted((q, p, i // window) for i, (q, p) in enumerate(order))
+
+
+def test_each_of_many_sources_is_a_queue(spark, tokenizer):
+    rows = [(i, prose(i % 7, 4 + i % 3), "en", f"s{i}", 0) for i in range(1500)] + [(2000 + i, prose(i, 100), "en", "big", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    pieces = packing.pack(docs, tokenizer, 2, window=512, targets={"big": 3000, "s1": 1}, max_broadcast=1000).toPandas()
+    assert set(pieces.queue) == {r[3] for r in rows} and pieces.groupby("doc_id").length.sum().equals(pieces.groupby("doc_id").doc_tokens.first())
+    first = pieces[pieces.sequence_id < 9]  # 1,500 sources are each off by half a token at most
+    assert abs(first[first.queue == "big"].length.sum() - first.length.sum() * 3000 / 4500) <= 750
+    assert pieces.groupby("sequence_id").length.sum().iloc[:-1].eq(512).all()
+    with pytest.raises(ValueError, match="folded"):
+        packing.pack(docs, tokenizer, 2, targets={"big": 1}, max_queues=10)
+
+
 # --- quality, language
 
 
