@@ -271,3 +271,19 @@ def transitive_reflexive_from(spark, sf):
 def transitive_with_cycles(spark, sf):
     edges = read(spark, sf, "lineitem").where("l_quantity = 1").select((F.col("l_partkey") % 60).alias("src"), (F.col("l_suppkey") % 60).alias("dst"))
     return reach(edges).select("src", "dst")
+
+
+_TRADE = """trade AS (SELECT DISTINCT 'p:' || l_partkey AS src, 's:' || l_suppkey AS dst FROM lineitem UNION SELECT 's:' || l_suppkey, 'p:' || l_partkey FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {_TRADE}, start AS (SELECT 's:' || min(l_suppkey) AS src FROM lineitem), up(src, dst) AS (SELECT src, dst FROM trade WHERE src = (SELECT src FROM start) UNION SELECT up.src, trade.dst FROM up JOIN trade ON up.dst = trade.src) SELECT src, dst FROM up""")
+def reach_in_cycles(spark, sf):
+    """All parts and suppliers that the first supplier is linked to by any line, both ways, so that every edge is in a cycle.
+
+    The closure of all pairs is as large as the square of a component; a start's is as large as the component.
+    """
+    line = read(spark, sf, "lineitem")
+    part, supplier = F.concat(F.lit("p:"), F.col("l_partkey")), F.concat(F.lit("s:"), F.col("l_suppkey"))
+    edges = line.select(part.alias("src"), supplier.alias("dst")).unionByName(line.select(supplier.alias("src"), part.alias("dst")))
+    start = line.agg(F.concat(F.lit("s:"), F.min("l_suppkey")).alias("src"))
+    return reach(edges, start=start).select("src", "dst")
