@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import transforms as tf
@@ -9,6 +10,7 @@ from lorekeep.operators import intervals, owl, taxonomy
 from lorekeep.plans.registry import query
 from lorekeep.plans.tables import facts, geography, read, seconds
 from lorekeep.rules import Rule, fire, replacement
+from lorekeep.shared import materialize
 from lorekeep.terms import geq, gt
 
 _SPANS = """spans AS (SELECT o_orderkey AS k, o_custkey AS c, epoch(o_orderdate) AS b, greatest(epoch(o_orderdate), max(epoch(l_shipdate))) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate)"""
@@ -195,6 +197,42 @@ def n_most_similar(spark, sf):
     return taxonomy.most_similar(_similar(spark, sf), 3)
 
 
+def _by_nation(spark, sf, n):
+    """(nation, b, nation_b, similarity): each nation's first n suppliers, and how similar the suppliers of every nation are to them.
+
+    Similarity depends on the nations alone. A nation's only supplier has no similarity with its own nation.
+    """
+    places = read(spark, sf, "supplier").where("s_nationkey IS NOT NULL").select(F.concat(F.lit("s:"), "s_suppkey").alias("b"), F.col("s_nationkey").alias("nation"))
+    few = materialize(places.withColumn("i", F.row_number().over(Window.partitionBy("nation").orderBy("b"))).where(F.col("i") <= n).drop("i"), "first-suppliers")
+    # a row of two suppliers a nation stands for all its suppliers
+    who = few.groupBy("nation").agg(F.slice(F.array_sort(F.collect_list("b")), 1, 2).alias("a")).select("nation", F.explode("a").alias("a"))
+    pairs = who.select("a").crossJoin(F.broadcast(few.select("b"))).where("a <> b")  # nations times nations
+    edges = geography(spark, sf).where("src NOT LIKE 'c:%' AND src NOT LIKE 's:%'").unionByName(few.select(F.col("b").alias("src"), F.concat(F.lit("n:"), "nation").alias("dst")))
+    closure = taxonomy.reach(edges, reflexive=True)
+    found = taxonomy.wu_palmer(closure, pairs, "world").join(who, "a").select("nation", "b", "similarity").distinct()
+    return found.join(few.withColumnRenamed("nation", "nation_b"), "b")
+
+
+@query(f"""WITH {_UP}, c AS (SELECT n, count(*) AS many FROM up GROUP BY n) SELECT u.x AS a, v.n AS nation, (SELECT many FROM c WHERE c.n = v.n) - (u.n = v.n)::BIGINT AS others, ({_SIM})::DOUBLE AS similarity
+FROM up u, (SELECT DISTINCT n, r FROM up) v WHERE (SELECT many FROM c WHERE c.n = v.n) > (u.n = v.n)::BIGINT""")
+def similarity_by_nation(spark, sf):
+    """Every supplier's similarity to all others: those of one nation (others: how many) have one, so that no pairs are made."""
+    places = read(spark, sf, "supplier").select(F.concat(F.lit("s:"), "s_suppkey").alias("a"), F.col("s_nationkey").alias("nation"))
+    many = places.groupBy("nation").agg(F.count("*").alias("many")).withColumnRenamed("nation", "nation_b")
+    sims = _by_nation(spark, sf, 2).select("nation", "nation_b", "similarity").distinct().join(many, "nation_b")
+    others = F.col("many") - F.when(F.col("nation") == F.col("nation_b"), 1).otherwise(0)
+    return places.join(F.broadcast(sims), "nation").select("a", F.concat(F.lit("n:"), "nation_b").alias("nation"), others.alias("others"), "similarity")
+
+
+@query(f"""WITH {_UP} SELECT * FROM (SELECT u.x AS a, v.x AS b, ({_SIM})::DOUBLE AS similarity, (row_number() OVER (PARTITION BY u.x ORDER BY ({_SIM}) DESC, v.x))::INTEGER AS rank FROM up u, up v WHERE u.x <> v.x) WHERE rank <= 3""")
+def most_similar_of_all(spark, sf):
+    """Each supplier's three most similar among all others: of a nation's ranked list of four, those that aren't the supplier itself."""
+    best = Window.partitionBy("nation").orderBy(F.desc("similarity"), "b")
+    ranked = _by_nation(spark, sf, 4).withColumn("i", F.row_number().over(best)).where("i <= 4").select("nation", "b", "similarity")
+    places = read(spark, sf, "supplier").select(F.concat(F.lit("s:"), "s_suppkey").alias("a"), F.col("s_nationkey").alias("nation"))
+    return taxonomy.most_similar(places.join(F.broadcast(ranked), "nation").where("a <> b").select("a", "b", "similarity"), 3)
+
+
 # --- rules
 
 

@@ -25,3 +25,20 @@ def test_every_query_has_sql():
 def test_filters_and_columns_reach_the_scan(spark):
     plan = registry.QUERIES["ask_conjunction"](spark, oracle.FOLDER)._jdf.queryExecution().toString()
     assert "GreaterThan(o_totalprice" in plan and "EqualTo(n_name,NATION_7)" in plan and "o_orderpriority" not in plan.split("Physical Plan")[1]
+
+
+@pytest.mark.parametrize("name", ["similarity_by_nation", "most_similar_of_all"])
+def test_similarity_where_nations_hold_several_suppliers(spark, name):
+    folder = oracle.FOLDER.replace("sf0.001", "sf0.01")
+    got = registry.QUERIES[name](spark, folder)
+    oracle.compare(got, oracle.connect(folder), registry.ORACLES[name])
+    nation = {f"s:{r.s_suppkey}": r.s_nationkey for r in spark.read.parquet(f"{folder}/supplier.parquet").collect()}
+    shared = {a for a in nation if list(nation.values()).count(nation[a]) > 1}
+    if name == "most_similar_of_all":
+        assert shared and shared == {r.a for r in got.where("rank = 1").collect() if nation[r.a] == nation[r.b]}
+
+
+def test_reach_in_cycles_holds_true_ids(spark):
+    line = spark.read.parquet(f"{oracle.FOLDER}/lineitem.parquet")
+    ids = {r.dst for r in registry.QUERIES["reach_in_cycles"](spark, oracle.FOLDER).collect()}
+    assert ids <= {f"p:{r[0]}" for r in line.select("l_partkey").distinct().collect()} | {f"s:{r[0]}" for r in line.select("l_suppkey").distinct().collect()} and len(ids) > 60
