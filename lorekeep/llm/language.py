@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import slices, unwrapped, utf8, wrapped
+from lorekeep.llm.common import materialize, slices, unwrapped, utf8, wrapped
 from lorekeep.llm.hashing import mix
 
 BUCKETS = 1 << 16
@@ -136,17 +136,19 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, draw: int = 20_000, per_lang: int = 600) -> Model | None:
-    """Trains outside the held-out fold: of ``draw`` rows at most, chosen by a hash of doc_id, up to per_lang of each language."""
+def first_of(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """The first n rows of each group by a hash of doc_id."""
+    order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
+
+
+def fit(docs: DataFrame, per_lang: int = 600) -> Model | None:
+    """Trains outside the held-out fold: on up to per_lang rows of each language, chosen by a hash of doc_id."""
     open_ = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    drawn = open_.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(draw).collect()
-    taken: dict[str, list[int]] = {}
-    for r in drawn:
-        if len(ids := taken.setdefault(r.lang, [])) < per_lang:
-            ids.append(r.doc_id)
-    ids = [(i,) for group in taken.values() for i in group]
-    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long")
-    rows = open_.select("doc_id", F.col("text").cast("binary").alias("text"), "lang").join(F.broadcast(chosen.distinct()), "doc_id").where("text IS NOT NULL").limit(draw).collect()
+    salted = open_.select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(16)).alias("salt"))
+    chosen = materialize(first_of(first_of(salted, per_lang, "lang", "salt"), per_lang, "lang").select("doc_id", "lang").distinct(), "language-sample")
+    texts = open_.select("doc_id", F.col("text").cast("binary").alias("text"), "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).where("text IS NOT NULL")
+    rows = first_of(texts, per_lang, "lang").collect()
     return train([(bytes(r.text), r.lang) for r in sorted(rows, key=lambda r: (hash(r.doc_id), r.lang))])
 
 

@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.llm import chat, decontaminate, html_text, language, line_dedup, near_dup, packing, pii, quality, sharding
 from lorekeep.llm.hashing import shingle_set, word_hashes
@@ -379,6 +380,13 @@ def test_language(odd, empty, spark):
     assert {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned(spark):
+    ids = spark.range(40_000).orderBy(F.desc(F.xxhash64("id"))).limit(30).select("id")  # beyond any first 20,000 by hash
+    docs = spark.range(40_000).join(ids.withColumn("rare", F.lit(True)), "id", "left")
+    docs = docs.select(F.col("id").alias("doc_id"), F.when(F.col("rare"), "lo mira ramilo").otherwise("sch ung keit").alias("text"), F.when(F.col("rare"), "yy").otherwise("xx").alias("lang"))
+    assert language.fit(docs, per_lang=100).langs == ["xx", "yy"]
+
+
 # --- personal data
 
 
