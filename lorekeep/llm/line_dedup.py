@@ -135,23 +135,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = 1 << 28
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, keys, owners, hashes = batch.column(0).to_pylist(), [], [], []
+            ids, keys, owners, hashes = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)), [], [], []
             for i, text in zip(ids, utf8(batch.column(1)), strict=True):
                 for key in {k for k in line_keys(text or b"", min_chars) if k}:
                     keys.append(key)
                     owners.append(i)
                     hashes.append(xxhash.xxh3_64_intdigest(key))
             found = np.flatnonzero(suspect(np.array(hashes, np.uint64))).tolist() if hashes else []
-            yield pa.record_batch([pa.array([owners[j] for j in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(keys[j]) for j in found], pa.binary())], ["owner", "key"])
+            yield pa.record_batch([pa.array([owners[j][0] for j in found], pa.int64()), pa.array([owners[j][1] for j in found], pa.string()), pa.array([xxhash.xxh3_128_digest(keys[j]) for j in found], pa.binary())], ["owner", "own", "key"])
 
     owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("owner")
-    suspects = materialize(docs.select(owner, "text").mapInArrow(probe, "owner long, key binary"), "line-suspects")
+    # rows without doc_id share an owner, but each text has its own keys to drop
+    own = F.when(F.col("doc_id").cast("long").isNull(), F.md5(F.coalesce("text", F.lit("")))).otherwise("").alias("own")
+    suspects = materialize(docs.select(owner, "text", own).mapInArrow(probe, "owner long, own string, key binary"), "line-suspects")
     first = suspects.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last").select("key", "first")
     first = materialize(first, "line-keys")  # a plain join of two shuffles follows, so that Spark can split a very common line
-    drops = suspects.join(first, "key").where("owner > first").groupBy("owner").agg(F.collect_set("key").alias("__drop"))
+    drops = suspects.join(first, "key").where("owner > first").groupBy("owner", "own").agg(F.collect_set("key").alias("__drop"))
     keep = without(docs, ["text", "n_lines", "n_dropped"])
-    rows = docs.select(F.struct(*keep).alias("__row") if keep else F.lit(None).alias("__row"), "text", owner)
-    joined = rows.join(drops, "owner", "left")
+    rows = docs.select(F.struct(*keep).alias("__row") if keep else F.lit(None).alias("__row"), "text", owner, own)
+    joined = rows.join(drops, ["owner", "own"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -161,7 +163,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = 1 << 28
                 kept = lines
                 if drop:
                     gone = set(drop)
-                    kept = [x for x, k in zip(lines, line_keys(text, min_chars), strict=True) if not k or xxhash.xxh3_128_digest(k) not in gone]
+                    kept = [x for x, k in zip(lines, line_keys(text or b"", min_chars), strict=True) if not k or xxhash.xxh3_128_digest(k) not in gone]
                 texts.append(b"\n".join(kept))
                 before.append(len(lines))
                 dropped.append(len(lines) - len(kept))

@@ -72,6 +72,12 @@ def test_line_dedup(odd, empty):
     assert line_dedup.dedup_lines(empty, filter_bits=1 << 20).count() == 0
 
 
+def test_line_dedup_of_rows_without_id(spark):
+    rows = [(None, None, "en", "a", 0), (None, "A repeated line\nmine alone here", "en", "a", 0), (None, "another text of its own", "en", "a", 0), (1, "a repeated line", "en", "a", 0), (2, None, "en", "a", 0), (2, "a repeated line\nx", "en", "a", 0)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), filter_bits=1 << 20).select("doc_id", "text", "n_lines", "n_dropped").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_lines(rows)
+
+
 def test_line_dedup_is_exact_with_a_full_filter(spark):
     rows = [(i, "\n".join(f"line number {j} of all" for j in range(i, i + 400)), "en", "s", 0) for i in range(0, 6000, 50)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(5), filter_bits=1)
