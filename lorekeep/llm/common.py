@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.shared import materialize, shared_dir  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,23 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset (tests), a new one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: a Parquet table in the shared folder, read again. It survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z and nothing else changes; the fast built-in serves texts that are pure ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -61,12 +47,50 @@ def unwrapped(done: DataFrame, df: DataFrame, payload: str, own: list[str]) -> D
     return done.select(*[F.col(c) if c == payload else F.col(f"__row.`{c}`") for c in df.columns if c not in own], *own)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The rows of a task in small batches, so that few of them are Python objects at a time; then memory goes back."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+_HELD: dict[str, Any] = {}  # what a Python worker keeps between the tasks of one stage
+
+
+def _stage() -> int:
+    context = TaskContext.get()
+    return context.stageId() if context else -1
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """An object that the tasks of a stage share in each worker, made once; tasks of another stage let it go."""
+    if _HELD.get("stage") != _stage():
+        _HELD.clear()
+        _HELD["stage"] = _stage()
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Arrow's pool, and the C library's where it can."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _parts(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows > rows or batch.num_rows > 1 and batch.nbytes > size:
+        half = batch.num_rows // 2
+        yield from _parts(batch.slice(0, half), rows, size)
+        yield from _parts(batch.slice(half), rows, size)
+    elif batch.num_rows:
+        yield batch
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in small batches (bytes too, but for a row that is larger), so that few of them are Python objects at
+    a time; then memory goes back."""
+    if _HELD.get("stage") != _stage() and _HELD:
+        _HELD.clear()
+        release()
+    for batch in batches:
+        yield from _parts(batch, rows, size)
+    release()
 
 
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -20,12 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialize, slices, utf8
+from lorekeep.llm.common import held, materialize, slices, utf8
 from lorekeep.llm.hashing import hashed_words
 
-_WORKER: dict = {}
-
-
 _TAIL = b"!#$%&()*+,-./:;=?@[]^_`{|}~\""
 
 
@@ -43,50 +40,69 @@ def _stem(word: bytes) -> tuple[bytes, bytes]:
     return word.lower(), b""
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges [start, start + length), one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordTable:
-    """Ids of words, found by two 64-bit hashes: sorted arrays, and a smaller table of what came since they were sorted."""
-
-    def __init__(self, kind: np.dtype, size: int):
-        self.size, self.flat = size, np.zeros(0, kind)
-        self.levels = [np.zeros((4, 0), np.uint64) for _ in range(2)]  # hash, check, start, length
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Start and length (rows) of each word's ids; length 2**63 where it isn't known."""
-        out = np.full((2, hashes.shape[1]), 1 << 63, np.uint64)
-        for level in self.levels:
-            if level.shape[1]:
-                at = np.minimum(np.searchsorted(level[0], hashes[0]), level.shape[1] - 1)
-                hit = (level[0][at] == hashes[0]) & (level[1][at] == hashes[1])
-                out[:, hit] = level[2:, at[hit]]
-        return out
+    """Ids of words in arrays of a fixed size, by two 64-bit hashes: a word lies in one of four slots behind its first hash.
+
+    A word that finds none of its slots free, or no room for its ids, isn't remembered.
+    """
+
+    def __init__(self, kind: np.dtype, slots: int, ids: int):
+        self.slots = 1 << max(2, slots - 1).bit_length()
+        self.hashes, self.starts = np.zeros((2, self.slots), np.uint64), np.zeros(self.slots, np.uint32)
+        self.lengths, self.flat, self.used = np.full(self.slots, -1, np.int32), np.zeros(ids, kind), 0
+
+    def _slots(self, hashes: np.ndarray, step: int) -> np.ndarray:
+        return ((hashes + np.uint64(step)) & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of each word's ids; length -1 where it isn't known."""
+        starts, lengths = np.zeros(hashes.shape[1], np.int64), np.full(hashes.shape[1], -1, np.int64)
+        for step in range(4):
+            at = self._slots(hashes[0], step)
+            hit = (self.hashes[0, at] == hashes[0]) & (self.hashes[1, at] == hashes[1]) & (self.lengths[at] >= 0)
+            starts[hit], lengths[hit] = self.starts[at[hit]], self.lengths[at[hit]]
+        return starts, lengths
 
     def add(self, hashes: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
-        """Takes in words whose ids stand at the end of flat, one after another, unless the table is full."""
-        old, recent = self.levels
-        if old.shape[1] + recent.shape[1] < self.size:
-            self.flat, starts = flat, len(flat) - lengths.sum() + np.cumsum(lengths) - lengths
-            recent = np.concatenate([recent, np.stack([*hashes, starts.astype(np.uint64), lengths.astype(np.uint64)])], axis=1)
-            recent = recent[:, np.argsort(recent[0])]
-            if recent.shape[1] > old.shape[1] // 4:
-                old = np.concatenate([old, recent], axis=1)
-                old, recent = old[:, np.argsort(old[0])], recent[:, :0]
-            self.levels = [old, recent]
+        """Takes in distinct words, whose ids stand in flat one after another."""
+        ends = np.cumsum(lengths)
+        n = int(np.searchsorted(ends, len(self.flat) - self.used, side="right"))
+        if not n:
+            return
+        starts = self.used + ends - lengths
+        self.flat[self.used : self.used + ends[n - 1]] = flat[: ends[n - 1]]
+        self.used += int(ends[n - 1])
+        open_ = np.arange(n)
+        for step in range(4):
+            at = self._slots(hashes[0, open_], step)
+            free = np.flatnonzero(self.lengths[at] < 0)
+            slot, first = np.unique(at[free], return_index=True)
+            word = open_[free[first]]
+            self.hashes[:, slot], self.starts[slot], self.lengths[slot] = hashes[:, word], starts[word], lengths[word]
+            open_ = np.delete(open_, free[first])
 
 
 class WordEncoder:
     """Ids of texts whose tokenizer folds case and never joins across ASCII white space: words are encoded once.
 
     Words are found by hash in numpy, so that Python touches only those that aren't known yet; of them only stems that
-    aren't known go to the tokenizer. The words and stems seen first are remembered, ``words`` and ``stems`` at most.
+    aren't known go to the tokenizer. The words and stems seen first are remembered, about ``words`` (some 32 bytes each)
+    and ``stems`` (some 250 bytes each) of them.
     """
 
-    def __init__(self, path: str, words: int = 2_000_000, stems: int = 400_000):
+    def __init__(self, path: str, words: int = 1 << 19, stems: int = 80_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.table, self.memory, self.stems = WordTable(self.kind, words), stems, {b"": b""}
+        self.table, self.memory, self.stems = WordTable(self.kind, words, 4 * words), stems, {b"": b""}
 
     def _encode(self, stems: list[bytes]) -> dict[bytes, bytes]:
         fresh = {}
@@ -110,47 +126,33 @@ class WordEncoder:
         _, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
         if (hashes[1] != hashes[1][first][back]).any():  # two words with one hash: never seen, but then words by themselves
             return [b"".join(self._new(t.split())) + end for t in texts]
-        found = self.table.find(hashes[:, first])
-        missing = np.flatnonzero(found[1] == 1 << 63)
-        flat = self.table.flat
-        if len(missing):
-            at = first[missing]
-            ids = self._new([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            lengths = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
-            begins = len(flat) + np.cumsum(lengths) - lengths
-            flat = np.concatenate([flat, np.frombuffer(b"".join(ids), self.kind)])
-            found[:, missing] = begins, lengths
-            self.table.add(hashes[:, at], lengths, flat)
-        begin, length = found.astype(np.int64)[:, back]
-        total = np.cumsum(length)
-        every = flat[np.repeat(begin - total + length, length) + np.arange(total[-1] if len(total) else 0)]
+        begin, length = self.table.find(hashes[:, first])
+        missing = length < 0
+        known = self.table.flat[_ranges(begin[~missing], length[~missing])]
+        at = first[missing]
+        ids = self._new([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        length[missing] = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+        flat = np.concatenate([known, np.frombuffer(b"".join(ids), self.kind)])  # of the batch's words: the known, then the new
+        begin[~missing] = np.cumsum(length[~missing]) - length[~missing]
+        begin[missing] = len(known) + np.cumsum(length[missing]) - length[missing]
+        if len(at):
+            self.table.add(hashes[:, at], length[missing], flat[len(known) :])
+        begin, length = begin[back], length[back]
+        every = flat[_ranges(begin, length)]
         size = np.cumsum([len(t) + 1 for t in texts])
-        bounds = np.concatenate([[0], total])[np.searchsorted(starts, np.concatenate([[0], size]))].tolist()
+        bounds = np.concatenate([[0], np.cumsum(length)])[np.searchsorted(starts, np.concatenate([[0], size]))].tolist()
         return [every[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _WORKER:
-        _WORKER[path] = WordEncoder(path)
-    return _WORKER[path]
-
-
-def queue_of(docs: DataFrame, source: str, fold: int | None) -> tuple[F.Column, bool]:
-    """The queue's name: the source, null as ''; or, if asked to fold more sources than that, one of so many hash classes. And whether it is folded."""
-    name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    if fold is None or docs.select(name.alias("q")).distinct().limit(fold + 1).count() <= fold:
-        return name, False
-    return F.pmod(F.xxhash64(name), F.lit(fold)).cast("string"), True
-
-
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, queue: F.Column) -> DataFrame:
     """doc_id, queue, part, before, n, ids: each document's ids with end_id behind; ``before`` counts its queue's tokens
     that the same part (a task's slice of the input) holds before it. A table, so that parts stay as they are."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, served = _encoder(tokenizer), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], encode.kind).tobytes()
-        for batch in slices(batches, 1000):
+        part, served = TaskContext.get().partitionId(), {}
+        for batch in slices(batches, 1000, 2 << 20):
+            encode = held(f"encoder {tokenizer}", lambda: WordEncoder(tokenizer))
+            end = np.array([end_id], encode.kind).tobytes()
             queues = batch.column(1).to_pylist()
             ids = encode([t or b"" for t in utf8(batch.column(2))], end)
             sizes = [len(x) // encode.kind.itemsize for x in ids]
@@ -260,20 +262,16 @@ def numbered(queues: DataFrame) -> DataFrame:
     return held.join(F.broadcast(held.sparkSession.createDataFrame(rows, "part long, ahead long")), "part").select("queue", "n", (F.col("at") + F.col("ahead")).alias("number"))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, source: str = "source", targets: dict[str, float] | None = None, max_queues: int | None = None, with_ids: bool = True, max_broadcast: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, source: str = "source", targets: dict[str, float] | None = None, with_ids: bool = True, max_broadcast: int = 100_000) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, and ids (little-endian, 32 bits).
 
     Every token of every document (its ids and end_id) lies in one piece. Windows are filled to the last but one; the last
     holds the rest. ``targets`` are weights by queue name, by default the queues' own shares of tokens, which all windows then
-    show; queues without a target get the least one given. Every source is a queue, however many there are; only where
-    max_queues is given, more sources than that are folded into so many hash classes, which can't have targets by source.
+    show; queues without a target get the least one given. Every source is a queue, however many there are (null: '').
     Queues are held by number (a weight and a place in its class each); their names are joined. A null text has no ids but end_id; repeated rows are packed each; rows
     without doc_id are packed too; an empty table gives no piece. Other columns are ignored.
     """
-    name, folded = queue_of(docs, source, max_queues)
-    if folded and targets:
-        raise ValueError("targets go by source: they can't be met with sources folded into max_queues classes")
-    tokens = tokenize(docs, tokenizer, end_id, name)
+    tokens = tokenize(docs, tokenizer, end_id, F.coalesce(F.col(source).cast("string"), F.lit("")))
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     queues = numbered(parts.groupBy("queue").agg(F.sum("n").alias("n")))
     aims = docs.sparkSession.createDataFrame([(q, float(t)) for q, t in (targets or {}).items()], "queue string, target double")
