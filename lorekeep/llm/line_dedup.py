@@ -5,6 +5,7 @@ and a *twice* filter (seen in a second one). Segments of the filters are merged
 hold in *once* goes to *twice*. Only the *twice* filter, whose size is the parameter ``filter_bits``, is sent to all tasks.
 Pass 2 looks every key up in it; only keys that are found shuffle. They are confirmed exactly by 128-bit digest, and the
 smallest document that holds one keeps its lines. A filter that is too small for a corpus costs shuffle, never results.
+Texts don't shuffle either, but for those that lose lines: a filter of their ids tells them from the others.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialize, slices, utf8, without
+from lorekeep.llm.common import held, materialize, slices, utf8, without
 
 SPACE = b" \t\n\x0b\x0c\r"
 SEGMENT_BITS = 1 << 20
@@ -55,8 +58,8 @@ def _filter_rows(hashes: list[np.ndarray], segments: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "once", "twice"])
 
 
-def repeated_hashes(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], list[np.ndarray]], segments: int) -> list[tuple[int, bytes]]:
-    """The compressed segments of the filter of hashes that two rows or more hold; hashes_of gives each row's, distinct."""
+def bloom(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], list[np.ndarray]], segments: int, repeated: bool = True) -> list[tuple[int, bytes]]:
+    """The compressed segments of the filter of hashes that two rows or more hold, or any row; hashes_of gives each row's, distinct."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
@@ -82,56 +85,60 @@ def repeated_hashes(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], list[
                 again[bits[seen[bits]]] = True
                 again[np.frombuffer(two, np.uint32)] = True
                 seen[bits] = True
-        packed = [zlib.compress(np.packbits(b).tobytes(), 1) for b in twice.values()]
+        found = twice if repeated else once
+        packed = [zlib.compress(np.packbits(b).tobytes(), 1) for b in found.values()]
         if packed:
-            yield pa.record_batch([pa.array(list(twice), pa.int32()), pa.array(packed, pa.binary())], ["segment", "bits"])
+            yield pa.record_batch([pa.array(list(found), pa.int32()), pa.array(packed, pa.binary())], ["segment", "bits"])
 
     parts = rows.mapInArrow(scan, "segment int, once binary, twice binary")
     merged = parts.repartition(segments, "segment").mapInArrow(merge, "segment int, bits binary")
     return [(r.segment, bytes(r.bits)) for r in merged.collect()]  # at most segments * SEGMENT_BITS / 8 bytes
 
 
-_UNPACKED: dict[str, np.ndarray] = {}  # a worker's filter, kept between its tasks
-
-
 class Suspects:
-    """Looks hashes up in the broadcast filter; unpacked once in each Python worker."""
+    """Looks hashes up in the broadcast filter; unpacked once in each Python worker, for the tasks of a stage."""
 
-    def __init__(self, held, segments: int):
-        self.held, self.segments, self.name = held, segments, uuid.uuid4().hex
+    def __init__(self, sent: Broadcast, segments: int):
+        self.sent, self.segments, self.name = sent, segments, uuid.uuid4().hex
 
     def _filter(self) -> np.ndarray:
-        if self.name not in _UNPACKED:
-            _UNPACKED.clear()
-            whole = _UNPACKED[self.name] = np.zeros(self.segments * SEGMENT_BITS // 8, np.uint8)
-            for s, packed in self.held.value:
-                at = s * SEGMENT_BITS // 8
-                whole[at : at + SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
-        return _UNPACKED[self.name]
+        whole = np.zeros(self.segments * SEGMENT_BITS // 8, np.uint8)
+        for s, packed in self.sent.value:
+            at = s * SEGMENT_BITS // 8
+            whole[at : at + SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        return whole
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        whole = self._filter()
+        whole = held(self.name, self._filter)
         segment, bits = positions(hashes, self.segments)
         at = bits.astype(np.int64) + segment.astype(np.int64) * SEGMENT_BITS
         return ((whole[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = 1 << 28) -> DataFrame:
+def segments_for(n: int, most: int = 1 << 30) -> int:
+    """Segments of a filter with 16 bits for each of n hashes, but ``most`` bits at most."""
+    return min(max(1, 16 * n // SEGMENT_BITS + 1), most // SEGMENT_BITS)
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int | None = None) -> DataFrame:
     """Documents with repeated lines cut: the input's columns, then ``text``, ``n_lines`` (before), ``n_dropped``.
 
     A line whose key (white space stripped, A-Z lower-cased) has min_chars code points at least and occurs in two documents
-    or more stays only in the smallest doc_id that holds it. A null or empty text is one empty line and comes out empty.
-    Rows of one doc_id are one document. Rows without doc_id are one document that sorts last. Input columns named
-    n_lines or n_dropped are replaced. An empty table gives an empty table.
+    or more stays only in the smallest doc_id (a whole number) that holds it. A null or empty text is one empty line and
+    comes out empty. Rows of one doc_id are one document. Rows without doc_id are one document that sorts last. Input columns
+    named n_lines or n_dropped are replaced. An empty table gives an empty table. The filter has 16 bits a line, 2**30 at
+    most, or filter_bits; its size never changes the result.
     """
     spark = docs.sparkSession
-    segments = max(1, filter_bits // SEGMENT_BITS)
+    whole = F.coalesce("text", F.lit(""))
+    n_lines = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    segments = max(1, filter_bits // SEGMENT_BITS) if filter_bits else segments_for(docs.agg(F.sum(n_lines)).first()[0] or 0)
 
     def hashes_of(batch: pa.RecordBatch) -> list[np.ndarray]:
         keys = ({k for k in line_keys(t or b"", min_chars) if k} for t in utf8(batch.column(0)))
         return [np.array([xxhash.xxh3_64_intdigest(k) for k in found], np.uint64) for found in keys]
 
-    suspect = Suspects(spark.sparkContext.broadcast(repeated_hashes(docs.select("text"), hashes_of, segments)), segments)
+    suspect = Suspects(spark.sparkContext.broadcast(bloom(docs.select("text"), hashes_of, segments)), segments)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -151,9 +158,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = 1 << 28
     first = suspects.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last").select("key", "first")
     first = materialize(first, "line-keys")  # a plain join of two shuffles follows, so that Spark can split a very common line
     drops = suspects.join(first, "key").where("owner > first").groupBy("owner", "own").agg(F.collect_set("key").alias("__drop"))
+    drops = materialize(drops, "line-drops")
+    hurt = _holders(drops.select(F.xxhash64("owner", "own").alias("h")), drops.count())
     keep = without(docs, ["text", "n_lines", "n_dropped"])
-    rows = docs.select(F.struct(*keep).alias("__row") if keep else F.lit(None).alias("__row"), "text", owner, own)
-    joined = rows.join(drops, ["owner", "own"], "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(0)
+    rows = docs.select(row.alias("__row"), "text", owner, own).withColumn("__hurt", hurt(F.xxhash64("owner", "own")))
+    same = rows.where("NOT __hurt").select("__row", whole.alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    joined = rows.where("__hurt").join(drops, ["owner", "own"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -172,4 +183,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = 1 << 28
 
     row_type = rows.schema["__row"].dataType.simpleString()
     done = joined.select("__row", "text", "__drop").mapInArrow(cut, f"__row {row_type}, text string, n_lines long, n_dropped long")
-    return done.select("__row.*", "text", "n_lines", "n_dropped") if keep else done.drop("__row")
+    return same.unionByName(done).select(*[F.col(f"__row.`{c}`") for c in keep], "text", "n_lines", "n_dropped")
+
+
+def _holders(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test whether a hash may be among the n given: never false for one that is."""
+    segments = segments_for(n)
+
+    def each(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.unique(batch.column(0).to_numpy().view(np.uint64))]
+
+    among = Suspects(hashes.sparkSession.sparkContext.broadcast(bloom(hashes, each, segments, repeated=False)), segments)
+
+    @F.pandas_udf("boolean")
+    def test(column: pd.Series) -> pd.Series:
+        return pd.Series(among(column.to_numpy().view(np.uint64)))
+
+    return test
