@@ -20,7 +20,7 @@ from lorekeep.llm.hashing import mix, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
-OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]
+OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"]
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "symbol": SYMBOLS, "shout": b"!", "pipe": b"|", "blank": SPACE}
 _TABLES = {k: np.isin(np.arange(256), list(v)) for k, v in _CLASSES.items()}
 
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> ChainField |
 
 
 def judge(docs: DataFrame, field: ChainField | None, min_share: float = 0.5) -> DataFrame:
-    """One row per input row: its columns, then the counts, base_failed, content_share and kept.
+    """One row per input row: its columns, then the counts, base_failed, kept and content_share.
 
     A null text has no words and fails. Without a field (no labels of both kinds) every line is content. Repeated rows are
     judged each; an empty table gives an empty one; input columns with the names of these are replaced.
@@ -209,11 +209,11 @@ def judge(docs: DataFrame, field: ChainField | None, min_share: float = 0.5) ->
                 failed = d.n_words < 50 or 100 * d.n_repeat_words > 50 * d.n_words
                 content = field.decode(d.features) if field else np.ones(len(d.line_words), bool)
                 share = float(d.line_words[content].sum() / d.n_words) if d.n_words else 0.0
-                out.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, failed, share, not failed and share >= min_share))
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
+                out.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, failed, not failed and share >= min_share, share))
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
             cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             yield pa.record_batch([batch.column(0), batch.column(1), *cols], ["__row", "text", *OWN])
 
     kind = rows.schema["__row"].dataType.simpleString()
-    schema = f"__row {kind}, text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
+    schema = f"__row {kind}, text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
     return unwrapped(rows.mapInArrow(make, schema), docs, "text", OWN)
