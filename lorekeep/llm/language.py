@@ -1,7 +1,8 @@
 """Language identification: averaged embeddings of hashed byte n-grams under a linear softmax.
 
-Trained by stochastic gradient descent in numpy on a bounded sample. The softmax is calibrated by a temperature on a part
-of the sample that training doesn't see; there, too, the score is chosen below which a prediction isn't accepted.
+Trained by stochastic gradient descent in numpy on stretches of a bounded sample of documents, of which the driver gets the
+n-grams' numbers only. The softmax is calibrated by a temperature on documents of the sample that training doesn't see;
+there, too, the score is chosen below which a prediction isn't accepted.
 """
 
 from __future__ import annotations
@@ -46,11 +47,17 @@ def subwords(data: np.ndarray) -> list[np.ndarray]:
     return found
 
 
-def counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and how often each occurs."""
-    parts = subwords(np.frombuffer(b" " + text + b" ", np.uint8))
-    every = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return np.unique(every[every >= 0], return_counts=True)
+def grams(text: bytes) -> np.ndarray:
+    """The buckets of all n-grams of a text."""
+    parts = [p[p >= 0] for p in subwords(np.frombuffer(b" " + text + b" ", np.uint8))]
+    return np.concatenate(parts).astype(np.uint16) if parts else np.zeros(0, np.uint16)
+
+
+def stretches(text: bytes, n: int, size: int) -> list[bytes]:
+    """n stretches of so many bytes, spread evenly over the text; a text that isn't longer than they are is one."""
+    if len(text) <= n * size:
+        return [text]
+    return [text[at : at + size] for at in np.linspace(0, len(text) - size, n).astype(int).tolist()]
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -88,39 +95,46 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[bytes, str]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model | None:
-    """The model from (text, language) rows; None without any. Every fifth row calibrates."""
-    rows = [r for r in rows if has_letter(r[0])]
-    if not rows:
+@dataclass
+class Sample:
+    """The n-grams of a stretch, its language, and whether its document calibrates."""
+
+    grams: np.ndarray
+    lang: str
+    held: bool
+
+
+def train(samples: list[Sample], dim: int = 16, steps: int = 10_000, epochs: int = 3, rate: float = 0.5, seed: int = 11) -> Model | None:
+    """The model; None without samples. Every sample is seen ``epochs`` times, and more often if that makes less than ``steps``;
+    languages are drawn alike."""
+    samples = [s for s in samples if len(s.grams)]
+    if not samples:
         return None
-    langs = sorted({lang for _, lang in rows})
+    langs = sorted({s.lang for s in samples})
     rng = np.random.default_rng(seed)
-    shape = [(*counts(t), langs.index(lang)) for t, lang in rows]
-    fit, held = [s for i, s in enumerate(shape) if i % 5], shape[::5]
-    fit = fit or held
+    shape = [(*np.unique(s.grams, return_counts=True), langs.index(s.lang), s.held) for s in samples]
+    fit, held = [s for s in shape if not s[3]] or shape, [s for s in shape if s[3]] or shape
     embed, out, bias = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)), np.zeros((dim, len(langs))), np.zeros(len(langs))
-    steps, done = epochs * len(fit), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(fit)):
-            bucket, n, y = fit[i]
-            if not len(bucket):
-                continue
-            share = n / n.sum()
-            mean = share @ embed[bucket]
-            slope = softmax(mean @ out + bias)
-            slope[y] -= 1
-            step = rate * (1 - done / steps)
-            back = out @ slope
-            out -= step * np.outer(mean, slope)
-            bias -= 0.1 * step * slope
-            embed[bucket] -= step * np.minimum(share * 50, 1)[:, None] * back
-            done += 1
+    steps = max(steps, epochs * len(fit))
+    of_lang = [x for x in ([i for i, s in enumerate(fit) if s[2] == y] for y in range(len(langs))) if x]
+    for done, (y_, i_) in enumerate(zip(rng.integers(0, len(of_lang), steps).tolist(), rng.integers(0, 1 << 40, steps).tolist(), strict=True)):
+        bucket, n, y, _ = fit[of_lang[y_][i_ % len(of_lang[y_])]]
+        share = n / n.sum()
+        mean = share @ embed[bucket]
+        slope = softmax(mean @ out + bias)
+        slope[y] -= 1
+        step = rate * (1 - done / steps)
+        back = out @ slope
+        out -= step * np.outer(mean, slope)
+        bias -= 0.1 * step * slope
+        embed[bucket] -= step * np.minimum(share * 50, 1)[:, None] * back
     model = Model(langs, embed @ out, bias)
-    raw = np.array([(n / max(n.sum(), 1)) @ model.table[b] + bias for b, n, _ in held])
-    truth = np.array([y for _, _, y in held])
+    raw = np.array([(n / n.sum()) @ model.table[b] + bias for b, n, _, _ in held])
+    truth = np.array([y for _, _, y, _ in held])
 
     def loss(t: float) -> float:
-        return float(-np.log(softmax(raw / t)[np.arange(len(truth)), truth] + 1e-12).mean())
+        log = np.log(softmax(raw / t) + 1e-12)  # the truth counts 0.98, so that separable samples don't make the softmax certain
+        return -float((0.98 * log[np.arange(len(truth)), truth] + 0.02 * log.mean(axis=1)).mean())
 
     model.temperature = min(np.geomspace(0.02, 20, 60), key=loss)
     p = softmax(raw / model.temperature)
@@ -136,20 +150,35 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def first_of(rows: DataFrame, n: int, *by: str) -> DataFrame:
-    """The first n rows of each group by a hash of doc_id."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+def first_of(rows: DataFrame, n: int, *group: str, by: str = "doc_id") -> DataFrame:
+    """The first n rows of each group, by a hash of a column."""
+    order = Window.partitionBy(*group).orderBy(F.xxhash64(by), by)
     return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
 
 
-def fit(docs: DataFrame, per_lang: int = 600) -> Model | None:
-    """Trains outside the held-out fold: on up to per_lang rows of each language, chosen by a hash of doc_id."""
+def fit(docs: DataFrame, per_lang: int = 600, n_stretches: int = 4, size: int = 800) -> Model | None:
+    """Trains outside the held-out fold: on up to per_lang rows of each language, chosen by a hash of doc_id, and of each on
+    n_stretches of ``size`` bytes from all over its text. So many n-grams (two bytes each) reach the driver."""
     open_ = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     salted = open_.select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(16)).alias("salt"))
     chosen = materialize(first_of(first_of(salted, per_lang, "lang", "salt"), per_lang, "lang").select("doc_id", "lang").distinct(), "language-sample")
-    texts = open_.select("doc_id", F.col("text").cast("binary").alias("text"), "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).where("text IS NOT NULL")
-    rows = first_of(texts, per_lang, "lang").collect()
-    return train([(bytes(r.text), r.lang) for r in sorted(rows, key=lambda r: (hash(r.doc_id), r.lang))])
+    rows = open_.select("text", "doc_id", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).where("text IS NOT NULL")
+    rows = rows.select("text", "lang", F.xxhash64("doc_id").alias("h"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for text, lang, h in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if has_letter(text):
+                    found += [(lang, h, grams(piece).tobytes()) for piece in stretches(text, n_stretches, size)]
+            kinds = [pa.string(), pa.int64(), pa.binary()]
+            cols = [pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], k) for k in kinds]
+            yield pa.record_batch(cols, ["lang", "h", "grams"])
+
+    # repeated doc_ids may give more rows than were chosen
+    seen = first_of(rows.mapInArrow(make, "lang string, h long, grams binary"), per_lang * n_stretches, "lang", by="grams").collect()
+    seen = sorted((r.h, r.lang, bytes(r.grams)) for r in seen)
+    return train([Sample(np.frombuffer(g, np.uint16), lang, h % 5 == 0) for h, lang, g in seen])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
