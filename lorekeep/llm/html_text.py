@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over their and their neighbours' densities.
 
-A page is cut into blocks of text at block-level tags. A block is described by its words and the share of them in links, by
-the same of the blocks before and behind it, and by its region: inside an article, inside a part that pages mark as menu,
-notice, advert, comment and the like, or neither. The tree is grown from the small labelled table below.
+A page is cut into blocks of text at block-level tags. Blocks in elements that aren't the article's by their kind or name
+(menus, footers, forms, adverts, comments) go first. Every other block is described by its words and the share of them in
+links, by the same of the blocks before and behind it, and by whether it has a doubtful name (such as an "alert" inside an
+article). The tree over these is grown from the small labelled table below.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import map_batches, without
+from lorekeep.llm.common import release, without
 
 # Names of HTML elements by their part in a page.
 RAW = {"script", "style", "template", "noscript", "iframe", "noframes", "textarea", "title", "svg", "math", "object", "canvas"}
@@ -26,26 +28,36 @@ CONTAINERS = set("html body head div section article main nav header footer asid
 OUTSIDE = set("head nav footer aside form dialog menu button select fieldset search".split())
 # Words of class, id and role that mark parts beside the article.
 MARKS = set("ad adbox ads adsense adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification paywall popup promo promoted promotion related reply replies respond share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar widget widgets alert contentinfo complementary search".split())
+# Of these, words that inside an article only make a part doubtful.
+DOUBTFUL = set("alert banner notice notices notification search toolbar widget widgets".split())
 ABOUT = set("with without has have no wrapper wrap layout container".split())  # such a name speaks of what is inside
 OF_ARTICLE = set("article entry post story content page".split())
 
 # Quotes are honoured until a tag's quotes don't close; from there on a tag ends at the next >.
 QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>")
 PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+LEGAL = re.compile(r"(?i)©|copyright\s*(?:©|\(c\)|[0-9]{4})")
 MARKED = re.compile(r"""(?is)(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
-# The labelled table: words, link share, words and link share of the block before, of the block behind, region
-# (1 article, 0 neither, -1 beside the article); label 1 main text, 0 not.
+# The labelled table: words, link share, words and link share of the block before and of the block behind (0 words: none),
+# doubtful name; label 1 main text, 0 not.
 LABELLED = [
-    (1, 1.0, 0, 0.0, 1, 1.0, -1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (3, 1.0, 2, 1.0, 9, 0.0, -1, 0), (9, 0.0, 1, 1.0, 8, 0.0, -1, 0),
-    (40, 0.0, 3, 0.0, 60, 0.0, -1, 0), (12, 0.0, 80, 0.0, 0, 0.0, -1, 0), (90, 0.0, 20, 0.0, 0, 0.0, -1, 0), (25, 0.1, 50, 0.0, 4, 1.0, -1, 0),
-    (8, 0.0, 9, 0.0, 60, 0.0, 1, 1), (60, 0.0, 8, 0.0, 45, 0.0, 1, 1), (1, 0.0, 60, 0.0, 70, 0.0, 1, 1), (2, 0.0, 0, 0.0, 1, 0.0, 1, 1),
-    (120, 0.05, 40, 0.0, 3, 0.0, 1, 1), (30, 0.2, 90, 0.0, 15, 0.0, 1, 1), (5, 0.0, 3, 0.0, 6, 0.0, 1, 1), (400, 0.01, 9, 0.0, 12, 0.0, 1, 1),
-    (4, 0.25, 50, 0.0, 60, 0.0, 1, 1), (1, 0.0, 1, 1.0, 12, 0.0, 1, 1), (10, 1.0, 60, 0.0, 50, 0.0, 1, 1), (2, 1.0, 30, 0.0, 40, 0.1, 1, 1),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0), (5, 0.8, 4, 1.0, 3, 1.0, 0, 0), (6, 0.9, 70, 0.0, 5, 1.0, 0, 0),
-    (3, 0.0, 1, 1.0, 2, 1.0, 0, 0), (4, 0.0, 2, 1.0, 5, 0.9, 0, 0), (7, 0.0, 3, 1.0, 0, 0.0, 0, 0), (9, 0.5, 2, 1.0, 2, 1.0, 0, 0),
-    (8, 0.0, 2, 1.0, 60, 0.0, 0, 1), (6, 0.0, 45, 0.0, 70, 0.0, 0, 1), (55, 0.0, 8, 0.0, 60, 0.0, 0, 1), (30, 0.05, 50, 0.0, 45, 0.0, 0, 1),
-    (18, 0.0, 40, 0.1, 35, 0.0, 0, 1), (75, 0.1, 60, 0.0, 2, 1.0, 0, 1), (14, 0.0, 30, 0.0, 3, 1.0, 0, 1), (160, 0.02, 3, 1.0, 4, 1.0, 0, 1),
+    # menus, link lists, and what stands between links
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0), (5, 0.8, 4, 1.0, 3, 1.0, 0, 0), (3, 1.0, 2, 1.0, 9, 0.0, 0, 0),
+    (6, 0.9, 70, 0.0, 5, 1.0, 0, 0), (11, 1.0, 60, 0.0, 12, 1.0, 0, 0), (12, 1.0, 14, 1.0, 11, 1.0, 0, 0), (13, 1.0, 12, 1.0, 40, 0.0, 0, 0), (12, 1.0, 11, 1.0, 0, 0.0, 0, 0), (3, 1.0, 2, 1.0, 60, 0.0, 0, 0), (12, 1.0, 11, 1.0, 80, 0.0, 0, 0),
+    (30, 0.9, 20, 0.9, 25, 1.0, 0, 0), (3, 0.0, 1, 1.0, 2, 1.0, 0, 0), (4, 0.0, 2, 1.0, 5, 0.9, 0, 0), (9, 0.5, 2, 1.0, 2, 1.0, 0, 0), (7, 0.0, 3, 1.0, 0, 0.0, 0, 0), (4, 0.0, 2, 1.0, 0, 0.0, 0, 0), (9, 0.0, 1, 1.0, 0, 0.0, 0, 0), (12, 0.0, 4, 1.0, 0, 0.0, 0, 0),
+    (4, 0.0, 60, 0.0, 12, 1.0, 0, 0), (3, 0.0, 25, 0.0, 3, 1.0, 0, 0), (2, 1.0, 0, 0.0, 8, 0.0, 0, 0), (9, 0.9, 0, 0.0, 40, 0.0, 0, 0), (3, 1.0, 40, 0.0, 0, 0.0, 0, 0),
+    # headings and paragraphs
+    (8, 0.0, 2, 1.0, 60, 0.0, 0, 1), (8, 0.0, 1, 1.0, 5, 0.0, 0, 1), (1, 0.0, 1, 1.0, 12, 0.0, 0, 1), (6, 0.0, 45, 0.0, 70, 0.0, 0, 1), (55, 0.0, 8, 0.0, 60, 0.0, 0, 1),
+    (40, 0.0, 3, 0.0, 60, 0.0, 0, 1), (30, 0.05, 50, 0.0, 45, 0.0, 0, 1), (18, 0.0, 40, 0.1, 35, 0.0, 0, 1), (1, 0.0, 60, 0.0, 70, 0.0, 0, 1), (2, 0.0, 0, 0.0, 1, 0.0, 0, 1),
+    (1, 0.0, 3, 0.0, 2, 0.0, 0, 1), (5, 0.0, 3, 0.0, 6, 0.0, 0, 1), (120, 0.05, 40, 0.0, 3, 0.0, 0, 1), (30, 0.2, 90, 0.0, 15, 0.0, 0, 1), (400, 0.01, 9, 0.0, 12, 0.0, 0, 1),
+    (4, 0.25, 50, 0.0, 60, 0.0, 0, 1), (10, 1.0, 60, 0.0, 50, 0.0, 0, 1), (2, 1.0, 30, 0.0, 40, 0.1, 0, 1), (5, 0.0, 40, 0.0, 14, 0.0, 0, 1), (5, 0.0, 40, 0.0, 0, 0.0, 0, 1),
+    (30, 0.0, 50, 0.0, 0, 0.0, 0, 1), (160, 0.02, 3, 1.0, 4, 1.0, 0, 1), (75, 0.1, 60, 0.0, 2, 1.0, 0, 1), (14, 0.0, 30, 0.0, 3, 1.0, 0, 1), (25, 0.0, 1, 1.0, 2, 1.0, 0, 1),
+    (70, 0.0, 2, 1.0, 0, 0.0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 1), (6, 0.4, 30, 0.0, 20, 0.0, 0, 1),
+    (7, 0.0, 40, 0.0, 0, 0.0, 0, 1), (7, 0.0, 20, 0.0, 30, 0.0, 0, 1), (4, 0.0, 30, 0.0, 12, 0.0, 0, 1), (12, 0.0, 70, 0.0, 0, 0.0, 0, 1), (9, 0.0, 60, 0.0, 8, 0.0, 0, 1), (12, 0.0, 6, 0.0, 30, 0.0, 0, 1), (7, 0.0, 2, 1.0, 45, 0.0, 0, 1),
+    # blocks of a doubtful name
+    (6, 0.0, 40, 0.0, 30, 0.0, 1, 0), (12, 0.2, 60, 0.0, 50, 0.0, 1, 0), (3, 1.0, 30, 0.0, 40, 0.0, 1, 0), (15, 0.0, 60, 0.0, 0, 0.0, 1, 0), (9, 0.0, 8, 0.0, 12, 0.0, 1, 0),
+    (45, 0.0, 50, 0.0, 40, 0.0, 1, 1), (30, 0.05, 40, 0.0, 20, 0.0, 1, 1), (80, 0.0, 8, 0.0, 30, 0.0, 1, 1), (26, 0.0, 35, 0.0, 0, 0.0, 1, 1),
 ]
 
 
@@ -89,12 +101,17 @@ def trained() -> Tree:
     return grow(table[:, :-1], table[:, -1])
 
 
+BESIDE, ANYWHERE, IN_ARTICLE, DOUBTFUL_PART = range(4)  # kinds of parts of a page
+
+
 @dataclass
 class Block:
     text: str
     words: int
     links: float
-    region: int
+    beside: bool = False
+    doubtful: bool = False
+
 
 
 def _names(attributes: str) -> list[set[str]]:
@@ -103,33 +120,33 @@ def _names(attributes: str) -> list[set[str]]:
     return [set(re.split(r"[-_]+", name)) for name in names]
 
 
-def _beside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element opens a part beside the article."""
-    if tag in OUTSIDE or tag == "header" and not in_article:
-        return True
+def _part(tag: str, attributes: str, outer: int) -> int:
+    """The kind of part that an element opens inside another: BESIDE, ANYWHERE, IN_ARTICLE or DOUBTFUL_PART."""
+    if outer == BESIDE or tag in OUTSIDE or tag == "header" and outer == ANYWHERE:
+        return BESIDE
     if tag in ("html", "body"):
-        return False
-    return any(words & MARKS and not words & ABOUT and not (words & OF_ARTICLE and "header" in words) for words in _names(attributes))
-
-
-def _inside(tag: str, attributes: str) -> bool:
-    """Whether an element opens the article itself."""
-    return tag in ("article", "main") or any(words & (OF_ARTICLE - {"page"}) for words in _names(attributes))
+        return ANYWHERE
+    names = _names(attributes)
+    marks = [words & MARKS for words in names if not words & ABOUT and not (words & OF_ARTICLE and "header" in words)]
+    if any(marks):
+        return DOUBTFUL_PART if outer != ANYWHERE and not any(m - DOUBTFUL for m in marks) else BESIDE
+    return IN_ARTICLE if outer == ANYWHERE and (tag in ("article", "main") or any(words & (OF_ARTICLE - {"page"}) for words in names)) else outer
 
 
 def blocks(page: str) -> list[Block]:
     """The non-empty text blocks in page order, character references decoded and white space made single spaces."""
     found: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open containers and the region inside
+    stack: list[tuple[str, int]] = []  # open containers and the kind of part inside
     parts: list[str] = []
     linked: list[str] = []
-    link_depth, region = 0, 0
+    link_depth, part = 0, ANYWHERE
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             words = len(text.split(" "))
-            found.append(Block(text, words, min(1.0, len(html.unescape(" ".join(linked)).split()) / words), region))
+            links = min(1.0, len(html.unescape(" ".join(linked)).split()) / words)
+            found.append(Block(text, words, links, part == BESIDE or bool(LEGAL.match(text)), part == DOUBTFUL_PART))
         parts.clear()
         linked.clear()
 
@@ -190,23 +207,21 @@ def blocks(page: str) -> list[Block]:
                 if tag == "body":
                     stack.clear()
                     opened.clear()
-                outer = stack[-1][1] if stack else 0
-                inner = -1 if outer < 0 or _beside(tag, m[3], outer > 0) else 1 if outer or _inside(tag, m[3]) else 0
-                stack.append((tag, inner))
+                stack.append((tag, _part(tag, m[3], stack[-1][1] if stack else ANYWHERE)))
                 opened[tag] += 1
-            region = stack[-1][1] if stack else 0
+            part = stack[-1][1] if stack else ANYWHERE
     close()
     return found
 
 
 def main_text(page: str, tree: Tree) -> str:
     """The blocks that the tree takes for main text, one on a line."""
-    every = blocks(page)
-    edge = Block("", 0, 0.0, 0)
+    every = [b for b in blocks(page) if not b.beside]
+    edge = Block("", 0, 0.0)
     around = [edge, *every, edge]
     kept = []
     for before, block, behind in zip(around, every, around[2:], strict=False):
-        if tree([block.words, block.links, before.words, before.links, behind.words, behind.links, block.region]):
+        if tree([block.words, block.links, before.words, before.links, behind.words, behind.links, block.doubtful]):
             kept.append(block.text)
     return "\n".join(kept)
 
@@ -214,16 +229,17 @@ def main_text(page: str, tree: Tree) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per input row: its columns, then text and n_chars (code points).
 
-    A null or empty page, and one without main text, gives the empty text. The whole page is read, however long. Repeated
-    rows come out each; an empty table gives an empty one; input columns named text or n_chars are replaced.
+    A null or empty page, and one without main text, gives the empty text. The whole page is read, however long, in one task.
+    Repeated rows come out each; an empty table gives an empty one; input columns named text or n_chars are replaced. Only the
+    html goes to Python.
     """
-    keep = without(pages, ["text", "n_chars"])
-    rows = pages.select(F.struct(*keep).alias("__row"), "html")
     tree = trained()
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(p or "", tree) for p in batch.column(1).to_pylist()]
-        return pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["__row", "text", "n_chars"])
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield pa.array([main_text(p.as_py() or "", tree) for p in pages], pa.string())
+            release()
 
-    kind = rows.schema["__row"].dataType.simpleString()
-    return map_batches(rows, make, f"__row {kind}, text string, n_chars long").select("__row.*", "text", "n_chars")
+    found = pages.select(*[F.col(f"`{c}`") for c in without(pages, ["text", "n_chars"])], text("html").alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
