@@ -1,13 +1,15 @@
 """Personal data in texts, also in disguise: offset-preserving deobfuscation.
 
-Small transducers rewrite a text step by step and keep, for every character they put out, the span of source characters it
-stands for: invisible characters vanish, look-alikes become ASCII, spelled digits become digits, and written-out or
+Small transducers (regular rewrite rules) rewrite a text step by step and keep, for every character they put out, the span of
+source characters it stands for: invisible characters vanish, look-alikes become ASCII, spelled digits become digits, and written-out or
 bracketed "at" and "dot" become @ and a dot. Detectors run on the source and on the rewritten text; what only the second
 run finds is mapped back to source offsets and added, beside the plain match of a part of it.
 """
 
 from __future__ import annotations
 
+import bisect
+import collections
 import functools
 import re
 import unicodedata
@@ -41,9 +43,9 @@ _ONE = re.compile(rf"(?i){_WORD}|[ \t]*(?:\.|\b(?:dot|point)\b)[ \t]*|[^A-Za-z]+
 _PLUS = re.compile(r"(?i)(?<![A-Za-z])plus[ \t]+(?=[0-9])")
 _BRACKET_AT = re.compile(r"(?i)[ \t]*[\(\[\{<][ \t]*(?:at|@)[ \t]*[\)\]\}>][ \t]*")
 _BRACKET_DOT = re.compile(r"(?i)[ \t]*[\(\[\{<][ \t]*(?:dot|point|\.)[ \t]*[\)\]\}>][ \t]*")
-_WORDED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:@|[ \t]+at[ \t]+)[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)+")
-_SPACED_OUT = re.compile(r"(?i)[ \t](?:at|dot)[ \t]")
-_SPACED = re.compile(r"(?i)[ \t]+(at|dot)[ \t]+")
+_WORDED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:@|[ \t]+(?:at|@)[ \t]+)[A-Za-z0-9-]+(?:(?:[ \t]+(?:dot|\.)[ \t]+|\.)[A-Za-z0-9-]+)+")
+_SPACED_OUT = re.compile(r"(?i)[ \t](?:at|dot|@|\.)[ \t]")
+_SPACED = re.compile(r"(?i)[ \t]+(at|dot|@|\.)[ \t]+")
 _BRACKETED = re.compile(r"(?i)[\(\[\{<][ \t]*(?:at|dot|point|@|\.)[ \t]*[\)\]\}>]")
 _FOREIGN = re.compile(r"[^\x00-\x7f]")
 
@@ -79,25 +81,40 @@ def detect(text: str) -> list[Span]:
 
 
 class Tape:
-    """A rewritten text with the source span of each of its characters."""
+    """A rewritten text and where its characters come from: ``edits`` lists (a, b, start, end) in order, for characters [a, b)
+    that each stand for the source's [start, end); all others are copies. So memory grows with the edits, not with the text."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, range(len(text)), range(1, len(text) + 1)
-
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replaces [a, b) by a string, for edits in order; each new character stands for the whole piece replaced."""
-        text, starts, ends, at = [], [], [], 0
-        for a, b, new in edits:
-            text += [self.text[at:a], new]
-            starts += self.starts[at:a]
-            starts += [self.starts[a]] * len(new)
-            ends += self.ends[at:a]
-            ends += [self.ends[b - 1]] * len(new)
-            at = b
-        if at:
-            starts += self.starts[at:]
-            ends += self.ends[at:]
-            self.text, self.starts, self.ends = "".join(text) + self.text[at:], starts, ends
+        self.text = text
+        self.edits: list[tuple[int, int, int, int]] = []
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The source span of the characters [a, b), one at least."""
+        first, last = (self.edits[i - 1] if (i := bisect.bisect_right(self.edits, at, key=lambda e: e[0])) else (0, 0, 0, 0) for at in (a, b - 1))
+        start = first[2] if a < first[1] else first[3] + a - first[1]
+        return start, last[3] if b - 1 < last[1] else last[3] + b - last[1]
+
+    def rewrite(self, changes: list[tuple[int, int, str]]) -> None:
+        """Replaces [a, b) by a string, for changes in order; each new character stands for the whole piece replaced."""
+        if not changes:
+            return
+        pieces, edits, at, shift = [], [], 0, 0
+        old = collections.deque(self.edits)
+        for a, b, new in changes:
+            while old and (old[0][1] <= a if old[0][0] < old[0][1] else old[0][0] <= a):
+                x, y, s, e = old.popleft()
+                edits.append((x + shift, y + shift, s, e))
+            if old and old[0][0] < a:  # an edit that the change cuts: its head stays
+                edits.append((old[0][0] + shift, a + shift, *old[0][2:]))
+            edits.append((a + shift, a + shift + len(new), *self.span(a, b)))
+            while old and old[0][1] <= b and old[0][0] < b:
+                old.popleft()
+            if old and old[0][0] < b:  # its tail stays
+                old.appendleft((b, *old.popleft()[1:]))
+            pieces += [self.text[at:a], new]
+            at, shift = b, shift + len(new) - (b - a)
+        edits += [(x + shift, y + shift, s, e) for x, y, s, e in old]
+        self.text, self.edits = "".join(pieces) + self.text[at:], edits
 
 
 @functools.cache
@@ -124,7 +141,7 @@ def _digits(run: str) -> str:
 
 def _worded(m: re.Match, tape: Tape, source: str) -> bool:
     """An address with a worded " at " counts only beside another disguise in it: "a.b at c.d" alone is prose."""
-    return " dot " in re.sub(r"[ \t]+", " ", m[0].lower()) or "@" in m[0] or source[tape.starts[m.start()] : tape.ends[m.end() - 1]] != m[0]
+    return " dot " in re.sub(r"[ \t]+", " ", m[0].lower()) or "@" in m[0] or source[slice(*tape.span(*m.span()))] != m[0]
 
 
 def deobfuscate(text: str) -> Tape:
@@ -138,7 +155,7 @@ def deobfuscate(text: str) -> Tape:
         for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
             tape.rewrite([(*m.span(), new) for m in pattern.finditer(tape.text)])
     if _SPACED_OUT.search(tape.text):
-        spaced = [(m.start() + x.start(), m.start() + x.end(), "@" if x[1].lower() == "at" else ".") for m in _WORDED.finditer(tape.text) if _worded(m, tape, text) for x in _SPACED.finditer(m[0])]
+        spaced = [(m.start() + x.start(), m.start() + x.end(), "@" if x[1].lower() in ("at", "@") else ".") for m in _WORDED.finditer(tape.text) if _worded(m, tape, text) for x in _SPACED.finditer(m[0])]
         tape.rewrite(spaced)
     return tape
 
@@ -149,7 +166,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     tape = deobfuscate(text)
     if tape.text == text:
         return base, base
-    new = [(k, tape.starts[a], tape.ends[b - 1]) for k, a, b in detect(tape.text)]
+    new = [(k, *tape.span(a, b)) for k, a, b in detect(tape.text)]
     return base, sorted(set(base + new), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
