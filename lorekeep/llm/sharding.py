@@ -25,40 +25,53 @@ def _state(key: Column) -> Column:
 
 
 def _next(state: Column) -> Column:
-    return ((state * F.expr(f"CAST({MULTIPLIER} AS DECIMAL(18,0))" if MULTIPLIER < 10**18 else f"CAST({MULTIPLIER} AS DECIMAL(19,0))") + F.lit(1)) % _big(TWO_64)).cast("decimal(20,0)")
+    return ((state * F.expr(f"CAST({MULTIPLIER} AS DECIMAL(19,0))") + F.lit(1)) % _big(TWO_64)).cast("decimal(20,0)")
 
 
-def jump_hash(key: Column, shards: int) -> Column:
-    """The shard, 0 to shards - 1, of a 64-bit key (int)."""
+def _jumps(acc: Column, shards: int, steps: int) -> Column:
+    """The generator's state, the shard and the jump behind it, after so many steps or where the jump passes the shards."""
 
     def step(acc: Column, _: Column) -> Column:
         state = _next(acc["state"])
         share = F.lit(TWO_31) / (F.floor(state / _big(TWO_33)).cast("double") + 1)
         return F.when(acc["jump"] >= shards, acc).otherwise(F.struct(state.alias("state"), acc["jump"].alias("shard"), F.floor((acc["jump"] + 1) * share).cast("long").alias("jump")))
 
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), acc, step)
+
+
+def jump_hash(key: Column, shards: int) -> Column:
+    """(shard, jump) for a 64-bit key: its shard, 0 to shards - 1, and where it would go if there were more shards.
+
+    A key jumps about ln(shards) times. All rows take twice as many steps and a few more; a row that isn't done then takes
+    the rest, of which there are ``shards`` at most.
+    """
     start = F.struct(_state(key).alias("state"), F.lit(-1).cast("long").alias("shard"), F.lit(0).cast("long").alias("jump"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda acc: acc["shard"]).cast("int")
+    few = min(shards, 6 + 2 * shards.bit_length())
+    found = _jumps(start, shards, few)
+    if few < shards:
+        found = F.transform(F.array(found), lambda acc: F.when(acc["jump"] >= shards, acc).otherwise(_jumps(acc, shards, shards - few)))[0]
+    return F.struct(found["shard"].cast("int").alias("shard"), found["jump"].alias("jump"))
 
 
 def shard(docs: DataFrame, shards: int, key: str = "doc_id", slot_buckets: int = 1024) -> DataFrame:
     """Each row with ``shard``, ``grown_shard`` (of shards + 1) and a gapless ``slot`` in its shard.
 
-    Columns out: key, size, text_crc32, shard, slot, grown_shard. A null text has no bytes; a null key counts as 0. Repeated
+    The key is a whole number. Columns out: key, size, text_crc32, shard, slot, grown_shard. A null text has no bytes; a null key counts as 0. Repeated
     rows share a shard and get a slot each. Slots are numbered in two levels so that no task holds a shard: shards are cut
     into slot_buckets by a hash of the key, rows are numbered in their bucket, and the counts of the buckets before (at most
     shards * slot_buckets rows, whatever the input) are added.
     """
     id_ = F.coalesce(F.col(key).cast("long"), F.lit(0))
     bucket = F.floor(_next(_state(F.col(key))) / _big(TWO_54)).cast("long") % slot_buckets
-    keyed = docs.select(F.col(key), id_.alias("__id"), jump_hash(id_, shards).alias("shard"), bucket.alias("__bucket"))
-    counts = keyed.groupBy("shard", "__bucket").count()
+    counts = docs.select(jump_hash(id_, shards)["shard"].alias("shard"), bucket.alias("__bucket")).groupBy("shard", "__bucket").count()
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col(key), id_.alias("__id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        jump_hash(id_, shards).alias("shard"), bucket.alias("__bucket"),
-    )
+        jump_hash(id_, shards).alias("__jump"), bucket.alias("__bucket"),
+    ).withColumn("shard", F.col("__jump.shard"))
     here = Window.partitionBy("shard", "__bucket").orderBy("__id", "text_crc32", "size")
     numbered = rows.withColumn("__at", F.row_number().over(here)).join(offsets, ["shard", "__bucket"])
-    return numbered.select(key, "size", "text_crc32", "shard", (F.col("__before") + F.col("__at") - 1).cast("long").alias("slot"), jump_hash(F.col("__id"), shards + 1).alias("grown_shard"))
+    grown = F.when(F.col("__jump.jump") == shards, F.lit(shards)).otherwise(F.col("shard")).alias("grown_shard")  # the new shard takes those whose jump leads to it
+    return numbered.select(key, "size", "text_crc32", "shard", (F.col("__before") + F.col("__at") - 1).cast("long").alias("slot"), grown)
