@@ -23,6 +23,7 @@ from lorekeep.llm.common import map_batches, materialize, utf8
 from lorekeep.llm.hashing import mix, shingle_set, word_hashes
 
 CHUNK = 1 << 15
+SPLIT = 256  # a bucket's members meet what is known of the bucket in groups of about so many, so that none is one task's
 RARE = 64  # a shingle is rare if so many of the texts left hold it at most; any number gives the same result
 
 
@@ -166,7 +167,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = full.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "buckets")).alias("rep"))
     classes = materialize(classes.select("text_key", "rep.*"), "classes")
     spread = classes.select(F.explode("buckets").alias("bucket"), "id", "n")
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
+    # a table, so that the join is one of two shuffles and Spark can split a hot bucket
+    shared = materialize(spread.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1"), "buckets")
     labels = link(docs, materialize(spread.join(shared, "bucket"), "members"), shingle, percent)
     of_class = classes.select("text_key", "id").join(labels, "id", "left").select("text_key", F.coalesce("component", "id").alias("component"))
     found = signed.select(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("text_key")).alias("text_key"), "doc_id", "n_shingles")
@@ -187,6 +189,15 @@ def rare_shingles(sets: DataFrame, most: int) -> DataFrame:
     return rows.join(rare, "h")
 
 
+def of_bucket(live: DataFrame, known: DataFrame) -> DataFrame:
+    """Members joined with the one row of ``known`` (bucket, mates, …) of their bucket: the rows of large buckets are copied
+    to as many groups as their members are dealt to."""
+    groups = F.ceil(F.col("mates") / SPLIT)
+    dealt = live.withColumn("group", F.pmod(F.xxhash64("id"), groups))
+    copies = known.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1))).drop("mates")
+    return dealt.join(copies, ["bucket", "group"]).drop("group")
+
+
 def link(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Components (id, component) of the ids in ``members`` (bucket, id, n, mates: the bucket's size)."""
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
@@ -203,22 +214,25 @@ def link(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> Dat
         most = F.least(F.col(n) - F.col(rare), F.col(n2) - F.col(rare2))
         return 100 * most >= percent * (F.col(n) + F.col(n2) - most)
 
+    def alike() -> F.Column:
+        """Whether two sets' sizes alone allow the threshold."""
+        return 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+
     def by_pivots(live: DataFrame) -> DataFrame:
-        best = live.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"), "id", "n", "component")).alias("p"))
-        pivots = materialize(best.select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2")), "pivots")
-        alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-        return confirmed(live.join(pivots, "bucket").where((F.col("component") != F.col("component2")) & alike), "pivot")
+        best = live.groupBy("bucket").agg(F.max("mates").alias("mates"), F.max(F.struct("degree", (-F.col("id")).alias("low"), "id", "n", "component")).alias("p"))
+        pivots = materialize(best.select("bucket", "mates", F.col("p.id").alias("pivot"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2")), "pivots")
+        return confirmed(of_bucket(live, pivots).where((F.col("component") != F.col("component2")) & alike()), "pivot")
 
     degree = members.groupBy("id").agg(F.sum("mates").alias("degree"))
-    live = materialize(members.join(degree, "id").select("bucket", "id", "n", "degree", F.col("id").alias("component")), "live")
+    live = materialize(members.join(degree, "id").select("bucket", "mates", "id", "n", "degree", F.col("id").alias("component")), "live")
     links = by_pivots(live)
     labels = components(links)
 
     def left(live: DataFrame) -> DataFrame:
         """The members of buckets that still hold several components, with their components."""
         held = live.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        return held.join(mixed, "bucket")
+        mixed = held.groupBy("bucket").agg(F.max("mates").alias("mates"), F.min("component").alias("low"), F.max("component").alias("high"))
+        return of_bucket(held, mixed.where("low < high").select("bucket", "mates"))
 
     live = materialize(left(live), "live")
     links = links.unionByName(by_pivots(live))
@@ -231,9 +245,10 @@ def link(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> Dat
 
     # pairs with a rare shingle in common: their overlap is that of rare shingles and at most the lesser count of others
     mates = ids.select(*[F.col(c).alias(f"{c}2") for c in ids.columns])
-    shared = rare.where("df > 1").select("h", "id")
-    both = shared.join(shared.withColumnRenamed("id", "id2"), "h").where("id < id2").groupBy("id", "id2").agg(F.count("*").alias("common"))
-    both = both.join(ids, "id").join(mates, "id2").where("component <> component2")
+    shared = rare.where("df > 1").select("h", "id").join(ids.select("id", "n", "component"), "id")
+    other = shared.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component")])
+    both = shared.join(other, "h").where((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & alike())
+    both = both.groupBy("id", "id2").agg(F.count("*").alias("common")).join(ids.drop("component"), "id").join(mates.drop("component2"), "id2")
     most = F.col("common") + F.least(F.col("n") - F.col("rare"), F.col("n2") - F.col("rare2"))
     near = both.where(100 * most >= percent * (F.col("n") + F.col("n2") - most)).select("id", "id2")
 
