@@ -1,9 +1,10 @@
-"""RDF files as tables of triples. N-Triples and N-Quads are read line by line by Spark; RDF/XML and simple Turtle file by
+"""RDF files as tables of triples. N-Triples and N-Quads are read line by line by Spark; RDF/XML, Turtle and TriG file by
 file, in tasks. Every reader gives (s, p, o_kind, o, o_num, xsd, graph)."""
 
 from __future__ import annotations
 
 import datetime
+import itertools
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -13,11 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = "s string, p string, o_kind string, o string, xsd string, graph string"
+# The W3C's namespaces.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 # XSD types and the Spark types they are read as; others are text.
 XSD_TYPES = {"string": "string", "boolean": "boolean", "double": "double", "float": "float", "integer": "int", "int": "int", "long": "bigint", "short": "smallint", "unsignedLong": "decimal(20,0)", "unsignedInt": "bigint", "unsignedShort": "int", "nonNegativeInteger": "int", "anyURI": "string"}
-_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*(<[^>]*>)?\s*\.\s*(?:#.*)?$'
+# possessive, so that a long literal needs no stack
+_QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+_LINE = rf'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|{_QUOTED}(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
 
 
 def _numbers(df: DataFrame) -> DataFrame:
@@ -25,18 +29,32 @@ def _numbers(df: DataFrame) -> DataFrame:
 
 
 def _unescape(text: Column) -> Column:
-    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.replace(text, F.lit("\\\\"), F.lit("\\"))
+    """Escapes of a literal, in one pass from left to right."""
+    def char(piece: Column) -> Column:
+        code = F.unhex(F.substr(piece, F.lit(3)))
+        named = F.create_map(*[F.lit(x) for pair in (("t", "\t"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("f", "\f")) for x in pair])
+        second = F.substring(piece, 2, 1)
+        return (
+            F.when(~piece.startswith("\\"), piece).when(second == "u", F.decode(code, "UTF-16BE")).when(second == "U", F.decode(code, "UTF-32"))
+            .otherwise(F.coalesce(F.try_element_at(named, second), second))
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]++"), F.lit(0))
+    return F.when(text.contains("\\"), F.concat_ws("", F.transform(pieces, char))).otherwise(text)
+
+
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of N-Triples or N-Quads files that are neither statements nor blank nor comments."""
+    return spark.read.text(path).where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(?:#.*)?$"))
 
 
 def ntriples(spark: SparkSession, path: str, graph: str = "default") -> DataFrame:
-    """Lines that aren't statements, comments among them, are left out."""
+    """One statement a line; other lines are left out here and listed by ``malformed``."""
     lines = spark.read.text(path).where(F.col("value").rlike(_LINE))
-    s, p, o, g = (F.regexp_extract("value", _LINE, i) for i in (1, 2, 3, 4))
+    s, p, o, quoted, g = (F.regexp_extract("value", _LINE, i) for i in (1, 2, 3, 4, 5))
     literal = o.startswith('"')
     bare = F.regexp_replace(s, "^<|>$", "")
-    value = F.when(literal, _unescape(F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1))).otherwise(F.regexp_replace(o, "^<|>$", ""))
+    value = F.when(literal, _unescape(quoted)).otherwise(F.regexp_replace(o, "^<|>$", ""))
     kind = F.when(literal, "lit").when(o.startswith("_:"), "blank").otherwise("iri")
     xsd = F.nullif(F.regexp_extract(o, r'"\^\^<([^>]*)>$', 1), F.lit(""))
     named = F.coalesce(F.nullif(F.regexp_replace(g, "^<|>$", ""), F.lit("")), F.lit(graph))
@@ -94,90 +112,195 @@ def _xml_facts(content: bytes, origin: str) -> Iterator[tuple]:
 
 
 def rdf_xml(spark: SparkSession, path: str, graph: str = "default") -> DataFrame:
-    """RDF/XML files; each file is parsed in one task, files in parallel."""
+    """RDF/XML files; each file is parsed in one task, whose memory holds the file's tree. N-Triples is the way in for more."""
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 stem = re.sub(r"\W", "_", name.rsplit("/", 1)[-1])
-                rows = [(*f, graph) for f in _xml_facts(content, stem)]
-                yield pd.DataFrame(rows, columns=["s", "p", "o_kind", "o", "xsd", "graph"])
+                facts = ((*f, graph) for f in _xml_facts(content, stem))
+                while rows := list(itertools.islice(facts, 10_000)):
+                    yield pd.DataFrame(rows, columns=["s", "p", "o_kind", "o", "xsd", "graph"])
 
     return _numbers(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, COLUMNS))
 
 
-_TURTLE = re.compile(r'\s*(?:(#[^\n]*)|(@prefix|@base|PREFIX|BASE)\b|(<[^>]*>)|("""(?:.|\n)*?"""|"(?:[^"\\\n]|\\.)*")(?:\^\^(<[^>]*>|[\w-]*:[\w.-]*\w)|@[A-Za-z-]+)?|(_:[\w-]+)|([+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false)\b|([\w-]*:(?:[\w.%-]*[\w%-])?)|(a)\b|([.;,\[\]()]))')
-
-
-def _turtle_facts(text: str, origin: str) -> Iterator[tuple]:
-    """Statements with ; and , prefixes, literals and blank nodes by label; nested blank nodes and lists aren't read."""
-    prefixes, tokens, at = {}, [], 0
-    while m := _TURTLE.match(text, at):
-        at = m.end()
-        if not m[1]:
-            tokens.append(m)
-
-    def full(name: str) -> str:
-        if name.startswith("<"):
-            return name[1:-1]
-        alias, _, rest = name.partition(":")
-        return prefixes.get(alias, f"{alias}:") + rest
-
-    def term(m: re.Match) -> tuple:
-        if m[4]:
-            quoted = m[4][3:-3] if m[4].startswith('"""') else m[4][1:-1]
-            plain = re.sub(r"\\(.)", lambda x: {"n": "\n", "t": "\t", "r": "\r"}.get(x[1], x[1]), quoted)
-            return "lit", plain, full(m[5]) if m[5] else None
-        if m[6]:
-            return "blank", f"_:{origin}_{m[6][2:]}", None
-        if m[7]:
-            return "lit", m[7], XSD + ("integer" if re.fullmatch(r"[+-]?\d+", m[7]) else "double")
-        if m[8]:
-            return "lit", m[8], f"{XSD}boolean"
-        return "iri", f"{RDF}type" if m[10] else full(m[3] or m[9]), None
-
-    i = 0
-    while i < len(tokens):
-        if tokens[i][2]:
-            if "prefix" in tokens[i][2].lower():
-                prefixes[tokens[i + 1][9][:-1]] = tokens[i + 2][3][1:-1]
-                i += 3
+_TOKEN = re.compile(
+    r"""(?P<skip>(?:\s|\#[^\n]*)+)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<long>\"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3})|(?P<text>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
+    r"""|(?P<tag>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<hat>\^\^)|(?P<blank>_:\w(?:[\w.-]*[\w-])?)|(?P<number>[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"""
+    r"""|(?P<name>(?:[^\W\d_](?:[\w.-]*[\w-])?)?:(?:(?:[\w:]|%[0-9A-Fa-f]{2}|\\.)(?:(?:[\w:.-]|%[0-9A-Fa-f]{2}|\\.)*(?:[\w:-]|%[0-9A-Fa-f]{2}|\\.))?)?)|(?P<word>[A-Za-z]+)|(?P<mark>[.;,\[\](){}])""",
+    re.S,
+)
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.S)
+
+
+class TurtleError(ValueError):
+    """A file that isn't Turtle or TriG, with the place where that shows."""
+
+
+class _Turtle:
+    """Reads the statements of a Turtle or TriG text one by one: (s, p, kind, o, xsd, graph)."""
+
+    def __init__(self, text: str, origin: str, graph: str):
+        self.text, self.origin, self.graph, self.at = text, origin, graph, 0
+        self.prefixes: dict[str, str] = {}
+        self.base, self.blanks, self.found = "", 0, []
+        self.kind, self.value = "", ""
+        self.step()
+
+    def step(self) -> None:
+        while self.at < len(self.text):
+            m = _TOKEN.match(self.text, self.at)
+            if not m:
+                raise self.error("unknown character")
+            self.begin, self.at = self.at, m.end()
+            if m.lastgroup != "skip":
+                self.kind, self.value = m.lastgroup, m[0]
+                return
+        self.begin, self.kind, self.value = self.at, "end", ""
+
+    def error(self, what: str) -> TurtleError:
+        return TurtleError(f"{self.origin}: {what} at line {self.text.count(chr(10), 0, self.at) + 1}: {self.text[self.at : self.at + 40]!r}")
+
+    def take(self, *values: str) -> bool:
+        if self.value in values and self.kind in ("mark", "word", "tag"):
+            self.step()
+            return True
+        return False
+
+    def need(self, value: str) -> None:
+        if not self.take(value):
+            raise self.error(f"{value!r} expected before")
+
+    def plain(self, text: str) -> str:
+        named = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+        return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else named.get(m[3], m[3]), text)
+
+    def iri(self) -> str:
+        kind, value = self.kind, self.value
+        self.step()
+        if kind == "iri":
+            return value[1:-1] if ":" in value else self.base + value[1:-1]
+        if kind == "name":
+            alias, _, rest = value.partition(":")
+            return self.prefixes.get(alias, f"{alias}:") + re.sub(r"\\(.)", r"\1", rest)
+        raise self.error("a name expected before")
+
+    def fresh(self) -> str:
+        self.blanks += 1
+        return f"_:{self.origin}_b{self.blanks}"
+
+    def say(self, s: str, p: str, o: tuple) -> None:
+        self.found.append((s, p, *o, self.graph))
+
+    def term(self) -> tuple[str, str, str | None]:
+        kind, value = self.kind, self.value
+        if kind in ("text", "long"):
+            self.step()
+            plain, xsd = self.plain(value[3:-3] if kind == "long" else value[1:-1]), None
+            if self.kind == "hat":
+                self.step()
+                xsd = self.iri()
+            elif self.kind == "tag":
+                self.step()
+            return "lit", plain, xsd
+        if kind == "number":
+            self.step()
+            return "lit", value, XSD + ("integer" if re.fullmatch(r"[+-]?\d+", value) else "decimal" if "e" not in value.lower() else "double")
+        if kind == "word" and value in ("true", "false"):
+            self.step()
+            return "lit", value, f"{XSD}boolean"
+        if kind == "blank":
+            self.step()
+            return "blank", f"_:{self.origin}_{value[2:]}", None
+        if self.take("["):
+            node = self.fresh()
+            if not self.take("]"):
+                self.predicates(node)
+                self.need("]")
+            return "blank", node, None
+        if self.take("("):
+            cells = []
+            while not self.take(")"):
+                cells.append((self.fresh(), self.term()))
+            for i, (cell, item) in enumerate(cells):
+                self.say(cell, f"{RDF}first", item)
+                self.say(cell, f"{RDF}rest", ("blank", cells[i + 1][0], None) if i + 1 < len(cells) else ("iri", f"{RDF}nil", None))
+            return ("blank", cells[0][0], None) if cells else ("iri", f"{RDF}nil", None)
+        return "iri", self.iri(), None
+
+    def predicates(self, s: str) -> None:
+        while True:
+            p = f"{RDF}type" if self.take("a") else self.iri()
+            self.say(s, p, self.term())
+            while self.take(","):
+                self.say(s, p, self.term())
+            if not self.take(";"):
+                return
+            while self.take(";"):
+                pass
+            if self.value in (".", "]", "}"):
+                return
+
+    def triples(self) -> None:
+        nested = self.value == "["
+        kind, s, _ = self.term()
+        if kind == "lit":
+            raise self.error("a literal can't be a subject, before")
+        if not (nested and self.value in (".", "}")):
+            self.predicates(s)
+
+    def statements(self) -> Iterator[tuple]:
+        while self.kind != "end":
+            if self.value.lower().lstrip("@") in ("prefix", "base"):
+                sparql, what = self.kind == "word", self.value.lower().lstrip("@")
+                self.step()
+                if what == "base":
+                    self.base = self.iri()
+                else:
+                    alias = self.value.partition(":")[0]
+                    self.step()
+                    self.prefixes[alias] = self.iri()
+                if not sparql:
+                    self.need(".")
             else:
-                i += 2
-            i += i < len(tokens) and tokens[i][11] == "."
-            continue
-        s = term(tokens[i])[1]
-        i += 1
-        while i < len(tokens) and tokens[i][11] != ".":
-            p = term(tokens[i])[1]
-            i += 1
-            while i < len(tokens):
-                kind, value, xsd = term(tokens[i])
-                yield s, p, kind, value, xsd
-                i += 1
-                if i >= len(tokens) or tokens[i][11] != ",":
-                    break
-                i += 1
-            while i < len(tokens) and tokens[i][11] == ";":
-                i += 1
-        i += 1
+                named = self.take("GRAPH")
+                before = (self.at, self.begin, self.kind, self.value)
+                name = self.iri() if self.kind in ("iri", "name") else None
+                if self.value == "{" and self.kind == "mark":
+                    self.need("{")
+                    outer, self.graph = self.graph, name or self.graph
+                    while not self.take("}"):
+                        self.triples()
+                        self.take(".")
+                    self.graph = outer
+                elif named:
+                    raise self.error("'{' expected before")
+                else:
+                    self.at, self.begin, self.kind, self.value = before
+                    self.triples()
+                    self.need(".")
+            yield from self.found
+            self.found = []
 
 
 def turtle(spark: SparkSession, path: str, graph: str = "default") -> DataFrame:
+    """Turtle and TriG files; each is read in one task, files in parallel. A file that isn't in the language is an error."""
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                stem = re.sub(r"\W", "_", name.rsplit("/", 1)[-1])
-                yield pd.DataFrame([(*f, graph) for f in _turtle_facts(content.decode(), stem)], columns=["s", "p", "o_kind", "o", "xsd", "graph"])
+                facts = _Turtle(content.decode(), re.sub(r"\W", "_", name.rsplit("/", 1)[-1]), graph).statements()
+                while rows := list(itertools.islice(facts, 10_000)):
+                    yield pd.DataFrame(rows, columns=["s", "p", "o_kind", "o", "xsd", "graph"])
 
     return _numbers(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, COLUMNS))
 
 
-READERS = {"ntriples": ntriples, "nquads": ntriples, "rdfxml": rdf_xml, "turtle": turtle}
+READERS = {"ntriples": ntriples, "nquads": ntriples, "rdfxml": rdf_xml, "turtle": turtle, "trig": turtle}
 
 
 def load(spark: SparkSession, path: str, form: str | None = None, graph: str = "default") -> DataFrame:
     """By format, or by the path's ending."""
-    endings = {"nt": "ntriples", "nq": "nquads", "owl": "rdfxml", "rdf": "rdfxml", "xml": "rdfxml", "ttl": "turtle"}
+    endings = {"nt": "ntriples", "nq": "nquads", "owl": "rdfxml", "rdf": "rdfxml", "xml": "rdfxml", "ttl": "turtle", "trig": "trig"}
     return READERS[form or endings[path.rstrip("/").rsplit(".", 1)[-1]]](spark, path, graph)
 
 

@@ -1,5 +1,7 @@
 """Readers of RDF files, typed literals, imports and names."""
 
+import pytest
+
 from lorekeep.sources import rdf
 
 T = "http://x.org/t#"
@@ -45,6 +47,26 @@ def test_turtle(spark, tmp_path):
     assert {(T + "Fred", rdf.RDF + "type", "iri", T + "Man"), (T + "Fred", T + "hasAge", "lit", "34"), (T + "Fred", T + "knows", "iri", "http://y/z"), (T + "Fred", T + "big", "lit", "true"), ("_:a_ttl_b1", T + "name", "lit", "two\nlines")} <= rows(df)
 
 
+def test_long_literals_and_escapes(spark, tmp_path):
+    long = "x" * 300_000
+    (tmp_path / "a.nt").write_text(f'<s> <p> "{long}" .\n<s> <q> "C:\\\\new \\u00e9\\t\\U0001F600\\b" .\n# note\n\n<s> <p> "open .\n')
+    df = rdf.load(spark, str(tmp_path / "a.nt"))
+    assert {r.p: r.o for r in df.collect()} == {"p": long, "q": "C:\\new \u00e9\t\U0001f600\b"}
+    assert [r.value for r in rdf.malformed(spark, str(tmp_path / "a.nt")).collect()] == ['<s> <p> "open .']
+
+
+def test_nested_turtle_and_trig(spark, tmp_path):
+    (tmp_path / "a.trig").write_text("@prefix t: <http://x.org/t#> .\n@base <http://b/> .\nt:a t:p [ t:q 'one' , \"tw\\u00e9\"@en ; t:r ( t:x 1.5 ) ] .\nt:g { t:a t:s <rel> } GRAPH <http://g/2> { t:b a t:C . [] t:u true . }\n() t:v 2e3 .")
+    df = rdf.load(spark, str(tmp_path / "a.trig"))
+    found = {(r.s.replace("_:a_trig_", ""), r.p.rsplit("#", 1)[-1], r.o.rsplit("#", 1)[-1].replace("_:a_trig_", ""), r.graph.rsplit("/", 1)[-1].rsplit("#", 1)[-1]) for r in df.collect()}
+    wanted = {("http://x.org/t#a", "p", "b1", "default"), ("b1", "q", "one", "default"), ("b1", "q", "tw\u00e9", "default"), ("b1", "r", "b2", "default"), ("b2", "first", "x", "default"), ("b2", "rest", "b3", "default"), ("b3", "first", "1.5", "default"), ("b3", "rest", "nil", "default")}
+    wanted |= {("http://x.org/t#a", "s", "http://b/rel", "g"), ("http://x.org/t#b", "type", "C", "2"), ("b4", "u", "true", "2"), (rdf.RDF + "nil", "v", "2e3", "default")}
+    assert found == wanted
+    (tmp_path / "bad.ttl").write_text("<http://a> <http://b> <http://c> .\n<http://a> ? <http://c> .")
+    with pytest.raises(Exception, match="line 2"):
+        rdf.load(spark, str(tmp_path / "bad.ttl")).collect()
+
+
 def test_names_and_writing(spark, tmp_path):
     assert rdf.origin("/a/b/swrl_test.owl") == "swrl_test" and rdf.version("/onto/v1.2.3/a.owl") == "v1.2.3" and len(rdf.version("/onto/a.owl")) == 10
     df = spark.createDataFrame([("a", "p", "1"), ("b", "q", "2")], "s string, p string, o string")
