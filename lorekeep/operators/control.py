@@ -107,8 +107,8 @@ def member(array: str, name: str) -> Goal:
 
 
 def between(low: Column, high: Column, name: str) -> Goal:
-    """A row for each whole number from low to high; none if high is less."""
-    return lambda df: df.withColumn(name, F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
+    """A row for each whole number from low to high, none if high is less; where the name is bound, a test."""
+    return lambda df: df.where(F.col(name).between(low, high)) if name in df.columns else df.withColumn(name, F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
 
 
 def aggregate(goal: Goal, by: list[str], **values: Column) -> Goal:

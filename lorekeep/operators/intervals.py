@@ -51,13 +51,15 @@ def merge_overlapping(facts: DataFrame, keys: list[str], begin: str, end: str) -
 
 def validity(samples: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Samples with valid_from and valid_to: a value holds until the next sample of its key, the last one for ever (null)."""
-    nxt = F.lead(time).over(Window.partitionBy(*keys).orderBy(time))
+    rest = [c for c in samples.columns if c not in keys and c != time]  # samples of one time go by their other columns
+    nxt = F.lead(time).over(Window.partitionBy(*keys).orderBy(time, *rest))
     return samples.withColumn("valid_from", F.col(time)).withColumn("valid_to", nxt)
 
 
 def value_at(samples: DataFrame, keys: list[str], values: list[str], time: str, at: Column) -> DataFrame:
-    """The latest sample of each key up to a time: a map-side aggregate, not a sort. Filters on values belong behind it."""
-    latest = F.max_by(F.struct(time, *values), F.col(time))
+    """The latest sample of each key up to a time: a map-side aggregate, not a sort. Of samples at one time the greatest values
+    count. Filters on values belong behind it."""
+    latest = F.max(F.struct(time, *values))
     return samples.where(F.col(time) <= at).groupBy(*keys).agg(latest.alias("v")).select(*keys, "v.*")
 
 
@@ -70,28 +72,81 @@ def values_in(samples: DataFrame, keys: list[str], time: str, begin: Column, end
 def as_of_join(left: DataFrame, samples: DataFrame, keys: list[str], left_time: str, time: str, values: list[str]) -> DataFrame:
     """Each left row with the values of the latest sample of its key up to its time.
 
-    Both sides are sorted together once; the last sample seen is carried forward. No row pairs arise, and a key's rows are
+    Of samples at one time the one with the greatest values counts. Both sides are sorted together once; the last sample seen is carried forward. No row pairs arise, and a key's rows are
     spread over windows of keys only, so that one key's history is what a task holds.
     """
     payload = [c for c in left.columns if c not in keys]
     a = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*payload).alias("__row"), F.lit(None).cast(samples.select(F.struct(*values)).schema[0].dataType).alias("__v"))
     b = samples.select(*keys, F.col(time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct(*payload)).schema[0].dataType).alias("__row"), F.struct(*values).alias("__v"))
-    order = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys).orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
     carried = a.unionByName(b).withColumn("__last", F.last("__v", ignorenulls=True).over(order)).where("__side = 1")
     return carried.select(*keys, "__row.*", *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
-    """Pairs of rows (begin, end, each closed) of a key that share time, with the common interval.
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: float, most_slots: int = 64) -> DataFrame:
+    """Pairs of rows (begin, end, each closed; null: open) of a key that share time, with the common interval.
 
-    Intervals are dealt to buckets of the given width, so that the join is an equi-join; a pair is kept in its first common
-    bucket only. The sides' other columns must differ in name.
+    A pair shares time if the right one begins in the left one or the left one begins in the right one, later. So one side
+    is dealt to slots of ``width``, the other lies in the slot of its begin, the join is an equi-join and makes a pair once.
+    Rows with an open side or more than most_slots slots join by key alone. The sides' other columns must differ in name.
     """
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        slots = F.sequence(F.floor(F.col("begin") / width), F.floor(F.col("end") / width))
-        return df.select("*", F.explode(slots).alias("__slot")).withColumnsRenamed({"begin": f"{name}_begin", "end": f"{name}_end"})
-
-    pairs = dealt(left, "l").join(dealt(right, "r"), [*keys, "__slot"])
-    begin, end = F.greatest("l_begin", "r_begin"), F.least("l_end", "r_end")
-    kept = pairs.where((begin <= end) & (F.floor(begin / width) == F.col("__slot")))
-    return kept.withColumn("begin", begin).withColumn("end", end).drop("__slot")
+    rest = {n: [c for c in d.columns if c not in keys and c not in ("begin", "end")] for n, d in (("l", left), ("r", right))}
+
+    def slot(c: str) -> Column:
+        return F.floor(F.col(c) / width)
+
+    def split(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        df = df.select(*keys, *rest[name], F.col("begin").cast("double").alias(f"{name}_begin"), F.col("end").cast("double").alias(f"{name}_end"))
+        short = F.coalesce(slot(f"{name}_end") - slot(f"{name}_begin") < most_slots, F.lit(False))
+        return df.where(short), df.where(~short)
+
+    (l_short, l_wide), (r_short, r_wide) = split(left, "l"), split(right, "r")
+
+    def begins_in(held: DataFrame, inner: DataFrame, h: str, i: str, strict: bool) -> DataFrame:
+        dealt = held.withColumn("__slot", F.explode(F.sequence(slot(f"{h}_begin"), slot(f"{h}_end"))))
+        late = F.col(f"{i}_begin") > F.col(f"{h}_begin") if strict else F.col(f"{i}_begin") >= F.col(f"{h}_begin")
+        return dealt.join(inner.withColumn("__slot", slot(f"{i}_begin")), [*keys, "__slot"]).where(late & (F.col(f"{i}_begin") <= F.col(f"{h}_end"))).drop("__slot")
+
+    def by_key(a: DataFrame, b: DataFrame) -> DataFrame:
+        meet = F.coalesce(F.col("l_begin") <= F.col("r_end"), F.lit(True)) & F.coalesce(F.col("r_begin") <= F.col("l_end"), F.lit(True))
+        return a.join(b, keys).where(meet) if keys else a.crossJoin(b).where(meet)
+
+    parts = [begins_in(l_short, r_short, "l", "r", False), begins_in(r_short, l_short, "r", "l", True), by_key(l_wide, r_short), by_key(l_short, r_wide), by_key(l_wide, r_wide)]
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    return pairs.withColumn("begin", F.greatest("l_begin", "r_begin")).withColumn("end", F.least("l_end", "r_end"))
+
+
+def count_before(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n): how many pairs of a key have the left interval end before the right one begins: one sort, no pairs."""
+    ends = left.select(*keys, F.col("end").alias("t"), F.lit(1).alias("is_end"))
+    begins = right.select(*keys, F.col("begin").alias("t"), F.lit(0).alias("is_end"))
+    ahead = F.sum("is_end").over(Window.partitionBy(*keys).orderBy("t", "is_end").rowsBetween(Window.unboundedPreceding, -1))
+    return ends.unionByName(begins).withColumn("n", F.coalesce(ahead, F.lit(0))).where("is_end = 0").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+# frames of answers: _begin and _end, null where open
+
+
+def bind_during(answers: DataFrame, begin: str, end: str) -> DataFrame:
+    """S during [B, E] with variables: they get the answer's interval, and must agree where they are bound."""
+    b, e = F.coalesce("_begin", F.lit(-INF)), F.coalesce("_end", F.lit(INF))
+    held = answers
+    for name, value, fits in ((begin, b, F.col(begin) >= b if begin in answers.columns else None), (end, e, F.col(end) <= e if end in answers.columns else None)):
+        held = held.withColumn(name, value) if fits is None else held.where(F.col(name).isNull() | fits).withColumn(name, F.coalesce(F.col(name), value))
+    return held
+
+
+def during_event(answers: DataFrame, events: DataFrame, event: str) -> DataFrame:
+    """S during Event: answers that hold throughout an event (a column of ``events``, with begin and end). With the event bound
+    in the answers it is a join by event, else one by overlap of time."""
+    inside = (F.coalesce("_begin", F.lit(-INF)) <= F.coalesce("begin", F.lit(-INF))) & (F.coalesce("_end", F.lit(INF)) >= F.coalesce("end", F.lit(INF)))
+    if event in answers.columns:
+        return answers.join(events.select(event, "begin", "end"), event).where(inside).drop("begin", "end")
+    return answers.join(events.select(event, "begin", "end"), inside).drop("begin", "end")
+
+
+def occurs(events: DataFrame, now: Column | float) -> DataFrame:
+    """The events that go on at a time."""
+    return events.where((F.coalesce("begin", F.lit(-INF)) <= now) & (F.coalesce("end", F.lit(INF)) >= now))

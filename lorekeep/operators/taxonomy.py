@@ -37,6 +37,19 @@ def reach(edges: DataFrame, reflexive: bool = False, start: DataFrame | None = N
     return out
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst): all pairs on a path, without depths. Each round joins what is known with itself, so that a path of length n
+    takes log2 n rounds; for long chains."""
+    known = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "closure")
+    while True:
+        ahead = known.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+        longer = known.join(ahead, "dst").select("src", F.col("next").alias("dst")).distinct()
+        new = materialize(longer.join(known, ["src", "dst"], "left_anti"), "closure")
+        if not new.limit(1).count():
+            return known
+        known = known.unionByName(new)
+
+
 def least_common(closure: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, lcs, depth_a, depth_b): for each pair the common ancestor of least total distance, ties to the least name.
 

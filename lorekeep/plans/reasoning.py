@@ -31,11 +31,13 @@ _ALLEN = {
 @query(f"WITH {_SPANS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS relation, count(*) AS n FROM spans x JOIN spans y ON x.c = y.c AND x.k <> y.k WHERE {t}" for r, t in _ALLEN.items()) + ") WHERE n > 0")
 def allen_relations(spark, sf):
     """How often each relation holds between two orders of a customer."""
-    a = _spans(spark, sf)
-    pairs = a.alias("x").join(a.alias("y"), F.expr("x.c = y.c AND x.k <> y.k"))
-    ends = [F.col(c) for c in ("x.begin", "x.end", "y.begin", "y.end")]
+    a = materialize(_spans(spark, sf), "spans")
+    pairs = intervals.overlap_join(a, a.withColumnRenamed("k", "k2"), ["c"], 30 * 86400.0).where("k <> k2")  # all but before and after share time
+    ends = [F.col(c) for c in ("l_begin", "l_end", "r_begin", "r_end")]
     held = F.explode(F.filter(F.array(*(F.when(intervals.allen(r, *ends), F.lit(r)) for r in intervals.RELATIONS)), lambda r: r.isNotNull()))
-    return pairs.select(held.alias("relation")).groupBy("relation").agg(F.count("*").alias("n"))
+    found = pairs.select(held.alias("relation")).groupBy("relation").agg(F.count("*").alias("n"))
+    before = intervals.count_before(a, a, ["c"]).agg(F.sum("n").alias("n")).where("n > 0")
+    return found.unionByName(before.select(F.explode(F.array(F.lit("before"), F.lit("after"))).alias("relation"), "n"))
 
 
 @query(f"WITH {_SPANS} SELECT x.k AS k, y.k AS k2, greatest(x.b, y.b) AS t_begin, least(x.e, y.e) AS t_end FROM spans x JOIN spans y ON x.c = y.c AND x.k < y.k AND x.b <= y.e AND y.b <= x.e")
@@ -127,9 +129,7 @@ def qualified_cardinality(spark, sf):
 def class_expression(spark, sf):
     """(Brand#1 or size value 5) and not Promo."""
     f = facts(spark, sf)
-    promo = owl.instances(f).where("cls = 'T_PROMO'").select("s")
-    either = owl.union_of(owl.instances(f).where("cls = 'Brand#1'"), owl.has_value(f, "size", "5"))
-    return owl.intersection_of(either, owl.complement_of(f, promo))
+    return owl.expression(f, ("and", ("or", "Brand#1", ("value", "size", "5")), ("not", "T_PROMO")))
 
 
 def _axioms(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -27,39 +28,52 @@ def watch(stream: DataFrame, pattern: dict[str, Any], call: Callable[[DataFrame,
 
 
 def materialise(stream: DataFrame, rules: list[Rule], store: str, checkpoint: str) -> StreamingQuery:
-    """Appends each batch to the store, and what the rules conclude from it and from what is there. A batch that runs again
-    after a failure writes its own folder anew."""
+    """Appends each batch to the store, and what the rules conclude from it together with what is there: the batch is the rules'
+    first delta, so that old facts aren't fired again. A batch that runs again after a failure writes its own folder anew."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         path = f"{store}/batch={number}"
         batch.select("s", "p", "o").distinct().write.mode("overwrite").parquet(path)
         known = spark.read.schema("s string, p string, o string, batch long").option("basePath", store).parquet(store).where(F.col("batch") <= number).select("s", "p", "o")
-        fire(known, rules).write.mode("append").parquet(path)
+        fire(known, rules, new=spark.read.schema("s string, p string, o string").parquet(path)).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def moved(poses: DataFrame, key: str = "frame", distance: float = 0.001, seconds: float = 0.1) -> DataFrame:
-    """Samples (key, ts double, x, y, z) that are far enough from the last one kept, in place or time; one state row a key.
+POSE = ["x", "y", "z", "qx", "qy", "qz", "qw"]
 
-    Samples of a key are taken in order of time in each batch.
+
+def moved(poses: DataFrame, key: str = "frame", distance: float = 0.001, seconds: float = 0.1, angle: float = 0.001) -> DataFrame:
+    """Samples (key, parent, ts double, x, y, z, qx, qy, qz, qw) that differ from the last one kept by more than a distance, an
+    angle (radians) or a time, or in the parent frame; one state row a key.
+
+    Columns of the rotation or the parent that the input lacks count as unturned, and as one parent. Samples of a key are
+    taken in order of time in each batch.
     """
-    schema = f"{key} string, ts double, x double, y double, z double"
+    given = {"parent": F.lit(""), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.lit(0.0), "qw": F.lit(1.0)}
+    names = ["parent", "ts", *POSE]
+    schema = "parent string, ts double, " + ", ".join(f"{c} double" for c in POSE)
+
+    def far(now: tuple, last: tuple) -> bool:
+        gap = sum((a - b) ** 2 for a, b in zip(now[2:5], last[2:5], strict=True))
+        turn = 2 * math.acos(min(1.0, abs(sum(a * b for a, b in zip(now[5:], last[5:], strict=True)))))
+        return now[0] != last[0] or now[1] - last[1] > seconds or gap > distance**2 or turn > angle
 
     def keep(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
         out = []
-        for row in pd.concat(list(batches)).sort_values("ts").itertuples(index=False):
-            now = (row.ts, row.x, row.y, row.z)
-            if last is None or now[0] - last[0] >= seconds or sum((a - b) ** 2 for a, b in zip(now[1:], last[1:], strict=True)) >= distance**2:
+        for row in pd.concat(list(batches)).sort_values(["ts", *POSE])[names].itertuples(index=False):
+            now = tuple(row)
+            if last is None or far(now, last):
                 out.append((group[0], *now))
                 last = now
         if last is not None:
             state.update(last)
-        yield pd.DataFrame(out, columns=[key, "ts", "x", "y", "z"])
+        yield pd.DataFrame(out, columns=[key, *names])
 
-    return poses.select(key, "ts", "x", "y", "z").groupBy(key).applyInPandasWithState(keep, schema, "ts double, x double, y double, z double", "append", GroupStateTimeout.NoTimeout)
+    rows = poses.select(key, *[F.col(c) if c in poses.columns else given[c].alias(c) for c in names])
+    return rows.groupBy(key).applyInPandasWithState(keep, f"{key} string, {schema}", schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -73,13 +73,20 @@ class Frame:
         return test if self.occasional else test & ~F.coalesce(c["occasional"], F.lit(False))
 
 
+def _nested(frame: Frame, agent: str | None) -> None:
+    if frame.agent and agent != frame.agent:
+        raise ValueError(f"what {frame.agent} knows of another's mind isn't stored")
+
+
 def know(frame: Frame = Frame(), agent: str | None = None) -> Frame:
-    """K: what the agent knows; a frame inside another adds to it."""
+    """K: what the agent knows; a frame inside another adds to it. Another agent's view inside an agent's is an error."""
+    _nested(frame, agent or frame.agent)
     return replace(frame, agent=agent or frame.agent, uncertain=False)
 
 
 def believe(frame: Frame = Frame(), agent: str | None = None, confidence: float | None = None) -> Frame:
     """B: what the agent believes with the confidence at least."""
+    _nested(frame, agent or frame.agent)
     return replace(frame, agent=agent or frame.agent, uncertain=True, confidence=confidence)
 
 
@@ -93,6 +100,11 @@ def always(frame: Frame = Frame(), begin: float | None = None, end: float | None
     return replace(frame, occasional=False, begin=begin, end=end)
 
 
+def at(time: float, frame: Frame = Frame()) -> Frame:
+    """What holds at a time: the scope of a question without one is ``at(now)``."""
+    return always(frame, time, time)
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A fact with variables ("?x"), constants or operators for subject and object; the predicate is a name or a variable."""

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lorekeep.plans import language, patterns, reasoning, registry  # noqa: F401
+from lorekeep.plans import knowledge, language, patterns, reasoning, registry  # noqa: F401
 from tests import oracle
 
 pytestmark = pytest.mark.skipif(not oracle.available(), reason="no test data")
