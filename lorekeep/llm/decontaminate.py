@@ -85,8 +85,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, filter_bits: i
         return one & two
 
     def found(size: int) -> Column:
-        starts = F.filter(_starts(F.col("w"), size), lambda i: may_be(_key(F.col("w"), i, size)))
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(size).alias("length"), F.concat_ws(" ", _slice(F.col("w"), i, size)).alias("window")))
+        keyed = F.transform(_starts(F.col("w"), size), lambda i: F.struct(i.alias("start"), _key(F.col("w"), i, size).alias("key")))  # each hash once
+        starts = F.filter(keyed, lambda x: may_be(x["key"]))
+        return F.transform(starts, lambda x: F.struct(x["start"].alias("start"), F.lit(size).alias("length"), F.concat_ws(" ", _slice(F.col("w"), x["start"], size)).alias("window")))
 
     parts = [found(size) for size in lengths]
     none = F.array().cast("array<struct<start:int,length:int,window:string>>")
