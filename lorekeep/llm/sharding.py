@@ -40,7 +40,7 @@ def _jumps(acc: Column, shards: int, steps: int) -> Column:
 
 
 def jump_hash(key: Column, shards: int) -> Column:
-    """(shard, jump) for a 64-bit key: its shard, 0 to shards - 1, and where it would go if there were more shards.
+    """(state, shard, jump) for a 64-bit key: its shard, 0 to shards - 1, and where it would go if there were more shards.
 
     A key jumps about ln(shards) times. All rows take twice as many steps and a few more; a row that isn't done then takes
     the rest, of which there are ``shards`` at most.
@@ -50,7 +50,7 @@ def jump_hash(key: Column, shards: int) -> Column:
     found = _jumps(start, shards, few)
     if few < shards:
         found = F.transform(F.array(found), lambda acc: F.when(acc["jump"] >= shards, acc).otherwise(_jumps(acc, shards, shards - few)))[0]
-    return F.struct(found["shard"].cast("int").alias("shard"), found["jump"].alias("jump"))
+    return found
 
 
 def shard(docs: DataFrame, shards: int, key: str = "doc_id", slot_buckets: int = 1024) -> DataFrame:
@@ -63,15 +63,15 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", slot_buckets: int =
     """
     id_ = F.coalesce(F.col(key).cast("long"), F.lit(0))
     bucket = F.floor(_next(_state(F.col(key))) / _big(TWO_54)).cast("long") % slot_buckets
-    counts = docs.select(jump_hash(id_, shards)["shard"].alias("shard"), bucket.alias("__bucket")).groupBy("shard", "__bucket").count()
+    counts = docs.select(jump_hash(id_, shards)["shard"].cast("int").alias("shard"), bucket.alias("__bucket")).groupBy("shard", "__bucket").count()
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col(key), id_.alias("__id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         jump_hash(id_, shards).alias("__jump"), bucket.alias("__bucket"),
-    ).withColumn("shard", F.col("__jump.shard"))
+    ).withColumn("shard", F.col("__jump.shard").cast("int"))
     here = Window.partitionBy("shard", "__bucket").orderBy("__id", "text_crc32", "size")
     numbered = rows.withColumn("__at", F.row_number().over(here)).join(offsets, ["shard", "__bucket"])
-    grown = F.when(F.col("__jump.jump") == shards, F.lit(shards)).otherwise(F.col("shard")).alias("grown_shard")  # the new shard takes those whose jump leads to it
+    grown = F.when(F.col("__jump.jump") == shards, F.lit(shards)).otherwise(F.col("shard")).cast("int").alias("grown_shard")  # the new shard takes those whose jump leads to it
     return numbered.select(key, "size", "text_crc32", "shard", (F.col("__before") + F.col("__at") - 1).cast("long").alias("slot"), grown)
