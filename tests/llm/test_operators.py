@@ -110,8 +110,8 @@ def test_sharding(odd, empty, spark):
         assert sorted(r.slot for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
     assert all(r["shard"] == jump(r.doc_id, 24) and r.grown_shard in (r["shard"], 24) for r in rows)
     assert sharding.shard(empty, 24).count() == 0
-    for shards in (1, 2, 3000):
-        few = spark.range(-40, 60).select("id", sharding.jump_hash(F.col("id"), shards)["shard"].alias("shard")).collect()
+    for shards in (1, 2, 100):
+        few = spark.range(-40, 60).select("id", sharding.jump_hash(F.col("id"), shards).alias("shard")).collect()
         assert all(r["shard"] == jump(r.id, shards) for r in few)
 
 
