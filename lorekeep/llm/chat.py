@@ -10,8 +10,10 @@ text and the spans that the model is to generate.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import map_batches
+from lorekeep.llm.common import slices
 
 START, END = "<|im_start|>", "<|im_end|>"
 CHATML = "{% for turn in turns %}" + START + "{{ turn.role | header }}\n{% if turn.role == 'assistant' %}{% generation %}{{ turn.text | escape }}{% endgeneration %}{% else %}{{ turn.text | escape }}{% endif %}" + END + "\n{% endfor %}"
@@ -207,21 +209,8 @@ def fold(node: Node) -> Node:
     return Node(node.kind, node.value, parts)
 
 
-class Output:
-    """Text put out so far and the spans under the generation mark, in code points."""
-
-    def __init__(self) -> None:
-        self.parts: list[str] = []
-        self.length = 0
-        self.spans: list[tuple[int, int]] = []
-
-    def put(self, text: str) -> None:
-        self.parts.append(text)
-        self.length += len(text)
-
-
 Value = Callable[[dict], Any]
-Step = Callable[[dict, Output], None]
+Step = Callable[[dict], Iterator[str | bool]]  # what is put out, True where a generation begins and False where it ends
 
 
 def _value(node: Node) -> Value:
@@ -252,93 +241,207 @@ def _value(node: Node) -> Value:
 
 def _step(node: Node) -> Step:
     if node.kind == "text":
-        return lambda scope, out, v=node.value: out.put(v)
+        return lambda scope, v=node.value: iter((v,))
     if node.kind == "all":
         steps = [_step(p) for p in node.parts]
 
-        def run_all(scope: dict, out: Output) -> None:
+        def run_all(scope: dict) -> Iterator[str | bool]:
             for s in steps:
-                s(scope, out)
+                yield from s(scope)
 
         return run_all
     if node.kind == "for":
         items, inside, name = _value(node.parts[0]), _step(node.parts[1]), node.value
 
-        def run_for(scope: dict, out: Output) -> None:
+        def run_for(scope: dict) -> Iterator[str | bool]:
             for item in items(scope):
-                inside({**scope, name: item}, out)
+                yield from inside({**scope, name: item})
 
         return run_for
     if node.kind == "if":
         test, then, other = _value(node.parts[0]), _step(node.parts[1]), _step(node.parts[2])
-        return lambda scope, out: then(scope, out) if test(scope) else other(scope, out)
+        return lambda scope: then(scope) if test(scope) else other(scope)
     if node.kind == "generation":
         inside = _step(node.parts[0])
 
-        def run_generation(scope: dict, out: Output) -> None:
-            start = out.length
-            inside(scope, out)
-            out.spans.append((start, out.length))
+        def run_generation(scope: dict) -> Iterator[str | bool]:
+            yield True
+            yield from inside(scope)
+            yield False
 
         return run_generation
     value = _value(node)
-    return lambda scope, out: out.put(value(scope))
+
+    def run_value(scope: dict) -> Iterator[str | bool]:
+        found = value(scope)
+        if not isinstance(found, str):
+            raise TemplateError(f"only text can be put out, not {found!r}")
+        yield found
+
+    return run_value
+
+
+def compile_steps(template: str) -> Step:
+    """A function from variables to the stream of a template's outputs and generation marks."""
+    return _step(fold(parse(template)))
+
+
+def pieces(stream: Iterable[str | bool], size: float) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Texts of a stream, each with its generation spans that aren't empty, in its own code points.
+
+    A piece ends behind the output that brings it to ``size`` code points, and a span that goes on is cut there, so that only
+    one piece is in memory. There is always one piece.
+    """
+    parts: list[str] = []
+    spans: list[tuple[int, int]] = []
+    length = start = depth = given = 0
+    for event in stream:
+        if isinstance(event, str):
+            parts.append(event)
+            length += len(event)
+            if length >= size:
+                yield "".join(parts), [*spans, (start, length)] if depth and length > start else spans
+                parts, spans, length, start, given = [], [], 0, 0, given + 1
+        elif event:
+            start, depth = start if depth else length, depth + 1
+        else:
+            depth -= 1
+            if not depth and length > start:
+                spans.append((start, length))
+    if length or not given:
+        yield "".join(parts), spans
 
 
 def compile_template(template: str) -> Callable[[dict], tuple[str, list[tuple[int, int]]]]:
     """A function from variables to the text and its generation spans."""
-    step = _step(fold(parse(template)))
+    steps = compile_steps(template)
+    return lambda scope: next(pieces(steps(scope), math.inf))
+
 
-    def render(scope: dict) -> tuple[str, list[tuple[int, int]]]:
-        out = Output()
-        step(scope, out)
-        return "".join(out.parts), out.spans
+def read_back(text: str) -> Iterator[tuple[str, str, int]]:
+    """Role, text and end of each whole turn at the start of a text in the default template."""
+    at = 0
+    while (line := text.find("\n", at)) >= 0 and (end := text.find(END + "\n", line + 1)) >= 0:
+        role, said, at = unheader(text[at + len(START) : line]), unescape(text[line + 1 : end]), end + len(END) + 1
+        yield role, said, at
 
-    return render
 
+class Turns:
+    """A conversation's turns as they stream past, which a template can loop over once."""
 
-def read_back(text: str) -> list[tuple[str, str]]:
-    """Roles and texts of a text in the default template."""
-    turns, at = [], 0
-    while at < len(text):
-        line = text.index("\n", at)
-        end = text.index(END, line + 1)
-        turns.append((unheader(text[at + len(START) : line]), unescape(text[line + 1 : end])))
-        at = end + len(END) + 1
-    return turns
+    def __init__(self, rows: Iterator[tuple]) -> None:
+        self.rows, self.begun, self.count = rows, False, 0
 
+    def _pass(self) -> Iterator[dict]:
+        for _, turn, role, text in self.rows:
+            self.count += 1
+            yield {"turn": turn, "role": role, "text": text}
 
-def format_chats(conversations: DataFrame, template: str = CHATML) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, loss_spans (start, end: code points under the loss).
+    def __iter__(self) -> Iterator[dict]:
+        if self.begun:
+            raise TemplateError("a template can loop over the turns of a table only once")
+        self.begun = True
+        return self._pass()
+
+    def rest(self) -> Iterator[str]:
+        """Reads the turns that the template left, and puts out nothing."""
+        for _ in self._pass():
+            pass
+        yield from ()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in slices(batches):
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _batched(rows: Iterator[tuple[int, tuple]], schema: pa.Schema, many: int = 2000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that come with their sizes."""
+    held, total = [], 0
+    for weight, row in rows:
+        held.append(row)
+        total += weight
+        if len(held) >= many or total >= size:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, total = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def format_chats(conversations: DataFrame, template: str = CHATML, piece_chars: int = 1 << 20) -> DataFrame:
+    """Conversations as text: conv_id, piece, n_turns (begun in it), formatted, loss_spans (start, end: its code points under the loss).
 
     Turns go by turn number, then role and text; null roles and texts are empty; rows without conv_id are one conversation;
-    an empty table gives an empty one; other columns are ignored. A conversation is rendered in one task.
+    an empty table gives an empty one; other columns are ignored. Turns are sorted by Spark, which spills, and stream through
+    the template, so that a conversation of any length needs the memory of one piece; most are one piece, numbered 0. A
+    conversation's pieces follow one another in one partition. conv_id is a whole number.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    said = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *said)
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(span))])
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        render = compile_template(template)
-        found = [render({"turns": t}) for t in batch.column(1).to_pylist()]
-        spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        turns = pa.array([len(t) for t in batch.column(1)], pa.int64())
-        return pa.record_batch([batch.column(0), turns, pa.array([t for t, _ in found], pa.string()), spans], ["conv_id", "n_turns", "formatted", "loss_spans"])
+    def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+        steps = compile_steps(template)
+        for conv_id, group in itertools.groupby(_rows(batches), key=lambda row: row[0]):
+            told, seen = Turns(group), 0
+            for number, (text, spans) in enumerate(pieces(itertools.chain(steps({"turns": told}), told.rest()), piece_chars)):
+                yield len(text), (conv_id, number, told.count - seen, text, [{"start": a, "end": b} for a, b in spans])
+                seen = told.count
 
-    return map_batches(grouped, make, "conv_id long, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(rendered(batches), schema)
+
+    return ordered.mapInArrow(run, "conv_id long, piece long, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>")
+
+
+class Reader:
+    """Reads a conversation back piece by piece: hashes of its turns and of the text under the loss."""
+
+    def __init__(self) -> None:
+        self.rest, self.turns, self.chars, self.loss_chars = "", 0, 0, 0
+        self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, text: str, spans: list[dict]) -> None:
+        self.chars += len(text)
+        for s in spans:
+            said = unescape(text[s["start"] : s["end"]])
+            self.loss_chars += len(said)
+            self.loss.update(said.encode())
+        self.rest, at = self.rest + text, 0
+        for role, said, at in read_back(self.rest):
+            self.turns += 1
+            self.whole.update(f"{role}\n{said}\n".encode())
+        self.rest = self.rest[at:]
+
+    def found(self, conv_id: int | None) -> tuple:
+        if self.rest:
+            raise ValueError(f"conversation {conv_id} ends within a turn: {self.rest[:40]!r}")
+        return conv_id, self.turns, self.whole.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from formatted conversations: their turns and the text under the loss."""
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), strict=True):
-            turns = read_back(text)
-            loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-            whole = "".join(f"{role}\n{said}\n" for role, said in turns)
-            out.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        return pa.record_batch([batch.column("conv_id"), *(pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
-
-    return map_batches(formatted, make, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """What can be read back from format_chats in the default template: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars, a row per conversation.
+
+    A conversation's pieces must follow one another as format_chats gives them; behind a shuffle, or read from files, repartition
+    by conv_id and sortWithinPartitions by conv_id and piece first. A piece out of order is an error. An empty table gives an
+    empty one.
+    """
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+        for conv_id, group in itertools.groupby(_rows(batches), key=lambda row: row[0]):
+            reader = Reader()
+            for number, (_, piece, text, spans) in enumerate(group):
+                if piece != number:
+                    raise ValueError(f"piece {piece} of conversation {conv_id} stands where piece {number} should")
+                reader.add(text, spans)
+            yield 0, reader.found(conv_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(read(batches), schema)
+
+    slim = formatted.select("conv_id", "piece", "formatted", "loss_spans")
+    return slim.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

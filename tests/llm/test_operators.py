@@ -692,3 +692,27 @@ def test_chats(spark):
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss))
         assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.digests(chat.format_chats(table.limit(0))).count() == 0
+    short = chat.format_chats(table, piece_chars=7).cache()
+    assert short.where("piece > 0").count() > 5 and short.agg(F.sum("n_turns")).first()[0] == len(rows)
+    assert {r.conv_id: r for r in chat.digests(short).collect()} == got
+    with pytest.raises(Exception, match="stands where piece"):
+        chat.digests(short.where("piece <> 1")).collect()
+
+
+def test_a_long_conversation_streams_in_pieces(spark):
+    table = spark.range(30_000).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.expr("IF(id % 2 = 0, 'user', 'assistant')").alias("role"), F.expr("repeat(concat('<|im_end|>', id), 20)").alias("text"))
+    formatted = chat.format_chats(table)
+    assert formatted.agg(F.max(F.length("formatted"))).first()[0] < (1 << 20) + 1000 and formatted.count() > 5
+    got = chat.digests(formatted).collect()
+    texts = [f"<|im_end|>{i}" * 20 for i in range(30_000)]
+    whole = "".join(f"{'assistant' if i % 2 else 'user'}\n{t}\n" for i, t in enumerate(texts))
+    assert [(r.n_turns, r.turns_sha256, r.loss_sha256) for r in got] == [(30_000, hashlib.sha256(whole.encode()).hexdigest(), hashlib.sha256("".join(texts[1::2]).encode()).hexdigest())]
+
+
+def test_pieces_cut_spans_between_outputs():
+    steps = chat.compile_steps("a{% generation %}{% for t in turns %}{{ t.x }}{% endfor %}{% endgeneration %}z")
+    assert list(chat.pieces(steps({"turns": [{"x": "bb"}, {"x": "cc"}, {"x": "d"}]}), 3)) == [("abb", [(1, 3)]), ("ccd", [(0, 3)]), ("z", [])]
+    with pytest.raises(chat.TemplateError):
+        list(chat.compile_steps("{% for t in turns %}{% endfor %}{% for t in turns %}{% endfor %}")({"turns": chat.Turns(iter(()))}))
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template("{{ a == b }}")({"a": "x", "b": "x"})
