@@ -267,10 +267,16 @@ def transitive_reflexive_from(spark, sf):
     return reach(geography(spark, sf), reflexive=True, start=start)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 60 AS src, l_suppkey % 60 AS dst FROM lineitem WHERE l_quantity = 1), up(src, dst) AS (SELECT src, dst FROM e UNION SELECT up.src, e.dst FROM up JOIN e ON up.dst = e.src) SELECT src, dst FROM up""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+up(src, dst) AS (SELECT src, dst FROM e UNION SELECT up.src, e.dst FROM up JOIN e ON up.dst = e.src) SELECT src, dst FROM up""")
 def transitive_with_cycles(spark, sf):
-    edges = read(spark, sf, "lineitem").where("l_quantity = 1").select((F.col("l_partkey") % 60).alias("src"), (F.col("l_suppkey") % 60).alias("dst"))
-    return reach(edges).select("src", "dst")
+    """All nations that goods of a nation can come to, over any number of sales by suppliers to customers. Nations are few at any
+    size of the tables, so that all pairs fit."""
+    supplier = read(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
+    customer = read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
+    orders = read(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "dst")
+    sold = read(spark, sf, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "src").distinct()
+    return reach(sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst")).select("src", "dst")
 
 
 _TRADE = """trade AS (SELECT DISTINCT 'p:' || l_partkey AS src, 's:' || l_suppkey AS dst FROM lineitem UNION SELECT 's:' || l_suppkey, 'p:' || l_partkey FROM lineitem)"""

@@ -178,21 +178,21 @@ _SIM = "CASE WHEN u.n = v.n THEN 2.0 * 2 / (1 + 1 + 2 * 2) WHEN u.r = v.r THEN 2
 
 
 def _similar(spark, sf):
-    """Suppliers against each nation's first supplier, by place."""
+    """Suppliers whose number is divisible by 20 (a stated set of questions) against all other suppliers, by place."""
     closure = taxonomy.reach(geography(spark, sf), reflexive=True, start=geography(spark, sf).where("src NOT LIKE 'c:%'"))
-    places = read(spark, sf, "supplier")
-    first = places.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("k")).select(F.concat(F.lit("s:"), "k").alias("b"))
-    pairs = places.select(F.concat(F.lit("s:"), "s_suppkey").alias("a")).crossJoin(F.broadcast(first)).where("a <> b")
+    places = read(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("s:"), "s_suppkey").alias("b"))
+    asked = places.where("s_suppkey % 20 = 0").select(F.col("b").alias("a"))
+    pairs = asked.crossJoin(places.select("b")).where("a <> b")
     return taxonomy.wu_palmer(closure.unionByName(spark.createDataFrame([("world", "world", 0)], closure.schema)).distinct(), pairs, "world")
 
 
-@query(f"WITH {_UP}, f AS (SELECT 's:' || min(s_suppkey) AS x FROM supplier GROUP BY s_nationkey) SELECT u.x AS a, v.x AS b, ({_SIM})::DOUBLE AS similarity FROM up u, up v WHERE v.x IN (SELECT x FROM f) AND u.x <> v.x")
+@query(f"WITH {_UP} SELECT u.x AS a, v.x AS b, ({_SIM})::DOUBLE AS similarity FROM up u, up v WHERE substr(u.x, 3)::BIGINT % 20 = 0 AND u.x <> v.x")
 def wu_palmer_similarity(spark, sf):
     return _similar(spark, sf)
 
 
-@query(f"""WITH {_UP}, f AS (SELECT 's:' || min(s_suppkey) AS x FROM supplier GROUP BY s_nationkey) SELECT * FROM (SELECT u.x AS a, v.x AS b, ({_SIM})::DOUBLE AS similarity, (row_number() OVER (PARTITION BY u.x ORDER BY ({_SIM}) DESC, v.x))::INTEGER AS rank
-FROM up u, up v WHERE v.x IN (SELECT x FROM f) AND u.x <> v.x) WHERE rank <= 3""")
+@query(f"""WITH {_UP} SELECT * FROM (SELECT u.x AS a, v.x AS b, ({_SIM})::DOUBLE AS similarity, (row_number() OVER (PARTITION BY u.x ORDER BY ({_SIM}) DESC, v.x))::INTEGER AS rank
+FROM up u, up v WHERE substr(u.x, 3)::BIGINT % 20 = 0 AND u.x <> v.x) WHERE rank <= 3""")
 def n_most_similar(spark, sf):
     return taxonomy.most_similar(_similar(spark, sf), 3)
 

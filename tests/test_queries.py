@@ -27,8 +27,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThan(o_totalprice" in plan and "EqualTo(n_name,NATION_7)" in plan and "o_orderpriority" not in plan.split("Physical Plan")[1]
 
 
-@pytest.mark.parametrize("name", ["similarity_by_nation", "most_similar_of_all"])
-def test_similarity_where_nations_hold_several_suppliers(spark, name):
+@pytest.mark.parametrize("name", ["similarity_by_nation", "most_similar_of_all", "wu_palmer_similarity", "n_most_similar", "transitive_with_cycles"])
+def test_query_where_nations_hold_several_suppliers(spark, name):
     folder = oracle.FOLDER.replace("sf0.001", "sf0.01")
     got = registry.QUERIES[name](spark, folder)
     oracle.compare(got, oracle.connect(folder), registry.ORACLES[name])
