@@ -13,7 +13,7 @@ from lorekeep.operators import bindings, intervals, owl, pose_tree, qualitative
 from lorekeep.plans.patterns import _STORE, _store
 from lorekeep.plans.reasoning import _SPANS, _spans
 from lorekeep.plans.registry import query
-from lorekeep.plans.tables import facts, graph, read
+from lorekeep.plans.tables import facts, graph, read, seconds
 from lorekeep.relations import Fluent, Relation, annotations
 from lorekeep.rules import Rule, backward, fire, restructure
 from lorekeep.shared import shared_dir
@@ -147,7 +147,7 @@ ended AS (SELECT user_id, t FROM e WHERE event_type = 'error'), s AS (SELECT use
 SELECT user_id, value FROM (SELECT * FROM s WHERE t <= 1705276800 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, gone DESC, value DESC) = 1) WHERE NOT gone""")
 def fluent_assert(spark, sf):
     """Events set a user's value, clicks are taken back, and an error ends it."""
-    e = read(spark, sf, "events").select("user_id", "value", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("time"), "event_type")
+    e = read(spark, sf, "events").select("user_id", "value", seconds(F.col("ts")).alias("time"), "event_type")
     fluent = Fluent.declare(spark, "user_id bigint", "value double").tell(e.where("event_type <> 'error'")).forget(e.where("event_type = 'click'")).end(e.where("event_type = 'error'"))
     return fluent.at(F.lit(1705276800.0))
 

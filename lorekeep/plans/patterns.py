@@ -8,7 +8,7 @@ from lorekeep import graph as kg
 from lorekeep.operators import bindings
 from lorekeep.operators.taxonomy import reach
 from lorekeep.plans.registry import query
-from lorekeep.plans.tables import facts, geography, graph, read
+from lorekeep.plans.tables import facts, geography, graph, read, seconds
 from lorekeep.terms import Frame, Pattern, always, believe, eq, geq, gt, in_, know, leq, lt, neq, nin, prefix, regex, sometimes
 
 P = Pattern
@@ -176,7 +176,7 @@ def merged_frames(spark, sf):
 def _store(spark, sf):
     """Orders' states as framed triples: valid from the order to 30 days later, graphs by priority."""
     o = read(spark, sf, "orders")
-    day = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / DAY
+    day = seconds(F.col("o_orderdate")) / DAY
     rows = o.select(
         F.concat(F.lit("cust"), F.col("o_custkey")).alias("s"), F.lit("state").alias("p"), F.col("o_orderstatus").alias("o"), F.substring("o_orderpriority", 1, 1).alias("graph"),
         day.alias("begin"), (day + 30).alias("end"), (F.col("o_totalprice") > 400000).alias("uncertain"),

@@ -83,9 +83,10 @@ class Fluent:
         return replace(self, samples=self.samples.unionByName(rows.select(*own, F.lit(False).alias("gone"))).distinct())
 
     def forget(self, rows: DataFrame) -> Fluent:
-        """Without the samples that have these keys and values, so that what held before holds on."""
+        """Without the samples that have these keys and values (a null only where it is null), so that what held before holds on."""
         same = [c for c in (*self.keys, *self.values, self.time) if c in rows.columns]
-        return replace(self, samples=self.samples.join(rows.select(*same).distinct(), same, "left_anti"))
+        equal = reduce(Column.__and__, [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in same])
+        return replace(self, samples=self.samples.alias("s").join(rows.select(*same).distinct().alias("r"), equal, "left_anti"))
 
     def end(self, rows: DataFrame) -> Fluent:
         """From a time on the keys have no value."""

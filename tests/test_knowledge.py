@@ -7,9 +7,11 @@ from lorekeep.formula import Modal, answers, explain, fact, holds, substitute
 from lorekeep.graph import Graph
 from lorekeep.operators import bindings, intervals, owl, qualitative
 from lorekeep.operators.taxonomy import closure, reach
+from lorekeep.plans import knowledge, registry  # noqa: F401  the module registers its queries
 from lorekeep.relations import Fluent, Relation
 from lorekeep.rules import Rule, backward, fire, restructure, solve
 from lorekeep.terms import Frame, Pattern, always, at, believe, gt, know
+from tests import oracle
 
 P = Pattern
 ROWS = [("tom", "brother", "ann"), ("ann", "parent", "bo"), ("tom", "age", "41"), ("bo", "age", "7"), ("tom", "type", "Man"), ("ann", "type", "Woman"), ("bo", "type", "Child"), ("Man", "subClassOf", "Adult"), ("Woman", "subClassOf", "Adult"), ("Adult", "subClassOf", "Human"), ("Child", "subClassOf", "Human")]
@@ -139,3 +141,16 @@ def test_relations_that_follow(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 0)], "src int, dst int")
     assert rows(closure(chain)) == rows(reach(chain).select("src", "dst"))
     assert believe(Frame(agent="a"), "a", 0.5).confidence == 0.5
+
+
+def test_fluents_of_events_within_a_second(spark, tmp_path):
+    """The last event decides, not the greatest value of its second; a sample without a value is taken back too."""
+    duckdb = pytest.importorskip("duckdb")
+    data = [(0, "00:00:01.2", 1, "view", 9.0), (1, "00:00:01.7", 1, "view", 2.0), (2, "00:00:01.1", 2, "error", 1.0), (3, "00:00:01.8", 2, "view", 4.0), (4, "00:00:01.0", 3, "view", 5.0), (5, "00:00:02.0", 3, "click", None)]
+    frame = spark.createDataFrame(data, "event_id long, t string, user_id long, event_type string, value double")
+    frame.withColumn("ts", F.to_timestamp_ntz(F.concat(F.lit("2024-01-01 "), "t"))).drop("t").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = registry.QUERIES["fluent_assert"](spark, str(tmp_path))
+    assert rows(got) == [(1, 2.0), (2, 4.0), (3, 5.0)]
+    oracle.compare(got, con, registry.ORACLES["fluent_assert"])
