@@ -2,6 +2,7 @@
 
 import pytest
 
+from lorekeep.operators import taxonomy
 from lorekeep.plans import knowledge, language, patterns, reasoning, registry  # noqa: F401
 from tests import oracle
 
@@ -42,3 +43,26 @@ def test_reach_in_cycles_holds_true_ids(spark):
     line = spark.read.parquet(f"{oracle.FOLDER}/lineitem.parquet")
     ids = {r.dst for r in registry.QUERIES["reach_in_cycles"](spark, oracle.FOLDER).collect()}
     assert ids <= {f"p:{r[0]}" for r in line.select("l_partkey").distinct().collect()} | {f"s:{r[0]}" for r in line.select("l_suppkey").distinct().collect()} and len(ids) > 60
+
+
+@pytest.mark.parametrize("name", ["wu_palmer_similarity", "n_most_similar"])
+def test_pairs_compared_do_not_grow_with_suppliers(spark, tmp_path, monkeypatch, name):
+    for t in ("customer", "nation", "region"):
+        spark.read.parquet(f"{oracle.FOLDER}/{t}.parquet").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    rows = spark.range(200).selectExpr("id AS s_suppkey", "CAST(least(id, 3) AS INT) AS s_nationkey")  # nations of one supplier, and one of 197
+    rows.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    compared, whole = [], taxonomy.wu_palmer
+    monkeypatch.setattr(taxonomy, "wu_palmer", lambda closure, pairs, root: compared.append(pairs.count()) or whole(closure, pairs, root))
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    assert compared[0] <= 4 * 4 * 2 * 4
+    con = duckdb_of(tmp_path)
+    oracle.compare(got, con, registry.ORACLES[name])
+
+
+def duckdb_of(folder):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {t.stem} AS SELECT * FROM '{t}/*.parquet'")
+    return con
