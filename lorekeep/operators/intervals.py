@@ -86,35 +86,39 @@ def as_of_join(left: DataFrame, samples: DataFrame, keys: list[str], left_time:
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: float, most_slots: int = 64) -> DataFrame:
     """Pairs of rows (begin, end, each closed; null: open) of a key that share time, with the common interval.
 
-    A pair shares time if the right one begins in the left one or the left one begins in the right one, later. So one side
-    is dealt to slots of ``width``, the other lies in the slot of its begin, the join is an equi-join and makes a pair once.
-    Rows with an open side or more than most_slots slots join by key alone. The sides' other columns must differ in name.
+    Each side is dealt once to slots of time; an equi-join on key and slot makes a pair in the slot where the later of the two
+    begins. Slots have ``width`` at least, and four times the rows' mean length, so that a row lies in 1.25 slots on average; an
+    open side ends at the last finite time. Rows of more than most_slots slots join by key alone. The sides' other columns must
+    differ in name. The sides are read twice, so that costly ones should be stored before.
     """
     rest = {n: [c for c in d.columns if c not in keys and c not in ("begin", "end")] for n, d in (("l", left), ("r", right))}
-
-    def slot(c: str) -> Column:
-        return F.floor(F.col(c) / width)
-
-    def split(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        df = df.select(*keys, *rest[name], F.col("begin").cast("double").alias(f"{name}_begin"), F.col("end").cast("double").alias(f"{name}_end"))
-        short = F.coalesce(slot(f"{name}_end") - slot(f"{name}_begin") < most_slots, F.lit(False))
-        return df.where(short), df.where(~short)
-
-    (l_short, l_wide), (r_short, r_wide) = split(left, "l"), split(right, "r")
-
-    def begins_in(held: DataFrame, inner: DataFrame, h: str, i: str, strict: bool) -> DataFrame:
-        dealt = held.withColumn("__slot", F.explode(F.sequence(slot(f"{h}_begin"), slot(f"{h}_end"))))
-        late = F.col(f"{i}_begin") > F.col(f"{h}_begin") if strict else F.col(f"{i}_begin") >= F.col(f"{h}_begin")
-        return dealt.join(inner.withColumn("__slot", slot(f"{i}_begin")), [*keys, "__slot"]).where(late & (F.col(f"{i}_begin") <= F.col(f"{h}_end"))).drop("__slot")
-
-    def by_key(a: DataFrame, b: DataFrame) -> DataFrame:
-        meet = F.coalesce(F.col("l_begin") <= F.col("r_end"), F.lit(True)) & F.coalesce(F.col("r_begin") <= F.col("l_end"), F.lit(True))
-        return a.join(b, keys).where(meet) if keys else a.crossJoin(b).where(meet)
-
-    parts = [begins_in(l_short, r_short, "l", "r", False), begins_in(r_short, l_short, "r", "l", True), by_key(l_wide, r_short), by_key(l_short, r_wide), by_key(l_wide, r_wide)]
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
+    begin, end = F.col("begin").cast("double"), F.col("end").cast("double")
+    sides = {n: d.select(*keys, *rest[n], F.when(begin > -INF, begin).alias(f"{n}_begin"), F.when(end < INF, end).alias(f"{n}_end")) for n, d in (("l", left), ("r", right))}
+    times = sides["l"].select(F.col("l_begin").alias("b"), F.col("l_end").alias("e")).unionByName(sides["r"].select(F.col("r_begin").alias("b"), F.col("r_end").alias("e")))
+    t = times.agg(F.min(F.least("b", "e")).alias("lo"), F.max(F.greatest("b", "e")).alias("hi"), F.sum("b").alias("b"), F.sum("e").alias("e"), F.count("b").alias("n_b"), F.count("e").alias("n_e"), F.count("*").alias("n")).first()
+    lo, hi = t.lo or 0.0, t.hi or 0.0
+    length = ((t.e or 0.0) + hi * (t.n - t.n_e) - (t.b or 0.0) - lo * (t.n - t.n_b)) / max(t.n, 1)
+    width = max(width, 4 * length)
+
+    def slot(c: Column) -> Column:
+        return F.floor(c / width)
+
+    def split(name: str) -> tuple[DataFrame, DataFrame]:
+        first, last = slot(F.coalesce(f"{name}_begin", F.lit(lo))), slot(F.coalesce(f"{name}_end", F.lit(hi)))
+        short = last - first < most_slots
+        return sides[name].where(short).withColumn("__slot", F.explode(F.sequence(first, F.greatest(first, last)))), sides[name].where(~short)
+
+    (l_dealt, l_wide), (r_dealt, r_wide) = split("l"), split("r")
+    meet = F.coalesce(F.col("l_begin") <= F.col("r_end"), F.lit(True)) & F.coalesce(F.col("r_begin") <= F.col("l_end"), F.lit(True))
+    later = F.greatest(F.coalesce("l_begin", F.lit(lo)), F.coalesce("r_begin", F.lit(lo)))
+    pairs = l_dealt.join(r_dealt, [*keys, "__slot"]).where(meet & (F.col("__slot") == slot(later))).drop("__slot")
+    if (hi - lo) / width >= most_slots - 1:  # else no row is so long
+
+        def by_key(a: DataFrame, b: DataFrame) -> DataFrame:
+            return (a.join(b, keys) if keys else a.crossJoin(b)).where(meet)
+
+        l_short = l_dealt.where(F.col("__slot") == slot(F.coalesce("l_begin", F.lit(lo)))).drop("__slot")
+        pairs = pairs.unionByName(by_key(l_wide, sides["r"])).unionByName(by_key(l_short, r_wide))
     return pairs.withColumn("begin", F.greatest("l_begin", "r_begin")).withColumn("end", F.least("l_end", "r_end"))
 
 

@@ -106,6 +106,18 @@ def test_overlaps_with_open_and_long_intervals(spark):
     assert intervals.count_before(a.where("end IS NOT NULL"), a.where("begin IS NOT NULL"), ["g"]).first().n == before
 
 
+@pytest.mark.parametrize("most_slots", [64, 4])
+def test_overlaps_are_made_by_one_deal_unless_rows_are_wide(spark, most_slots):
+    inf = float("inf")
+    data = [(i, i % 2, 8.0 * i, 8.0 * i + i % 12) for i in range(60)] + [(60, 0, 0.0, 480.0), (61, 0, 300.0, None), (62, 1, -inf, 40.0), (63, 1, None, inf), (64, 0, 50.0, 20.0)]
+    a = spark.createDataFrame(data, "i int, g int, begin double, end double")
+    got = intervals.overlap_join(a, a.withColumnRenamed("i", "j"), ["g"], 1.0, most_slots)
+    spans = {i: (g, -inf if b is None else b, inf if e is None else e) for i, g, b, e in data}
+    want = sorted((i, j) for i, x in spans.items() for j, y in spans.items() if x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])
+    assert sorted((r.i, r.j) for r in got.collect()) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == (1 if most_slots == 64 else 3)
+
+
 def test_intervals_of_answers(spark):
     g = Graph(spark).tell(spark.createDataFrame([("a", "in", "x", 0.0, 10.0), ("b", "in", "x", 4.0, None)], "s string, p string, o string, begin double, end double"))
     assert rows(g.match(P("?s", "in", "x", at(2.0)))) == [("a",)] and rows(g.match(P("?s", "in", "x", always(begin=5.0)))) == [("b",)]
