@@ -16,7 +16,7 @@ from lorekeep.plans.registry import query
 from lorekeep.plans.tables import facts, graph, read, seconds
 from lorekeep.relations import Fluent, Relation, annotations
 from lorekeep.rules import Rule, backward, fire, restructure
-from lorekeep.shared import shared_dir
+from lorekeep.shared import materialize, shared_dir
 from lorekeep.sources import rdf
 from lorekeep.terms import Pattern, gt, lt, prefix, sometimes
 
@@ -93,7 +93,7 @@ def timed_conjunction(spark, sf):
 FROM o x JOIN o y ON x.c = y.c AND x.k < y.k AND (y.e IS NULL OR x.b <= y.e) AND (x.e IS NULL OR y.b <= x.e)""")
 def overlap_open(spark, sf):
     """Orders of a customer that run at one time, where every fiftieth never ends."""
-    a = _spans(spark, sf).withColumn("end", F.when(F.col("k") % 50 != 0, F.col("end")))
+    a = materialize(_spans(spark, sf).withColumn("end", F.when(F.col("k") % 50 != 0, F.col("end"))), "spans")
     pairs = intervals.overlap_join(a, a.withColumnRenamed("k", "k2"), ["c"], 30 * 86400.0).where("k < k2")
     return pairs.select("k", "k2", F.col("begin").alias("t_begin"), F.col("end").alias("t_end"))
 
