@@ -114,12 +114,16 @@ def complement_of(facts: DataFrame, part: DataFrame) -> DataFrame:
     return facts_of(facts, "type").select("s").distinct().join(part.select("s").distinct(), "s", "left_anti")
 
 
-def chain(facts: DataFrame, *props: str) -> DataFrame:
-    """(s, o): property chains, one equi-join a link."""
+def chain(facts: DataFrame, *props: str, parts: int | None = None) -> DataFrame:
+    """(s, o): property chains, one equi-join a link. With parts, joins and results are dealt to so many tasks, whatever the
+    session's number of shuffle partitions."""
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(parts, *keys) if parts else df
+
     out = facts_of(facts, props[0])
     for p in props[1:]:
-        out = out.withColumnRenamed("o", "m").join(facts_of(facts, p, "m", "o"), "m").select("s", "o")
-    return out.distinct()
+        out = dealt(out.withColumnRenamed("o", "m"), "m").join(facts_of(facts, p, "m", "o"), "m").select("s", "o")
+    return dealt(out, "s", "o").distinct()
 
 
 def rename(facts: DataFrame, names: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 
 from lorekeep.operators import taxonomy
-from lorekeep.plans import knowledge, language, patterns, reasoning, registry  # noqa: F401
+from lorekeep.plans import knowledge, language, patterns, reasoning, registry, tables  # noqa: F401
 from tests import oracle
 
 pytestmark = pytest.mark.skipif(not oracle.available(), reason="no test data")
@@ -59,6 +59,14 @@ def test_pairs_compared_do_not_grow_with_suppliers(spark, tmp_path, monkeypatch,
     oracle.compare(got, con, registry.ORACLES[name])
 
 
+def test_tasks_of_a_chain_grow_with_rows_not_with_the_session(spark, monkeypatch):
+    assert tables.tasks(spark.range(1000), 10) == 100 and tables.tasks(spark.range(10), 10) == spark.sparkContext.defaultParallelism
+    for module in (tables, reasoning):
+        monkeypatch.setattr(module, "tasks", lambda table: 37)
+    plan = registry.QUERIES["property_chain"](spark, oracle.FOLDER)._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert plan.count(", 37), REPARTITION_BY_NUM") == 3
+
+
 def duckdb_of(folder):
     import duckdb
 
