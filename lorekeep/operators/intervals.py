@@ -89,7 +89,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: floa
     Each side is dealt once to slots of time; an equi-join on key and slot makes a pair in the slot where the later of the two
     begins. Slots have ``width`` at least, and four times the rows' mean length, so that a row lies in 1.25 slots on average; an
     open side ends at the last finite time. Rows of more than most_slots slots join by key alone. The sides' other columns must
-    differ in name. The sides are read twice, so that costly ones should be stored before.
+    differ in name. The sides are read twice, so that costly ones should be stored before. Where both are one stored table with its
+    other columns renamed on both sides, Spark deals it once for both.
     """
     rest = {n: [c for c in d.columns if c not in keys and c not in ("begin", "end")] for n, d in (("l", left), ("r", right))}
     begin, end = F.col("begin").cast("double"), F.col("end").cast("double")
@@ -123,9 +124,14 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: floa
 
 
 def count_before(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n): how many pairs of a key have the left interval end before the right one begins: one sort, no pairs."""
-    ends = left.select(*keys, F.col("end").alias("t"), F.lit(1).alias("is_end"))
-    begins = right.select(*keys, F.col("begin").alias("t"), F.lit(0).alias("is_end"))
+    """(keys, n): how many pairs of a key have the left interval end before the right one begins: one sort, no pairs. As in a join,
+    a null key equals none; an end or begin that is null is before and after none."""
+
+    def told(df: DataFrame, t: str) -> DataFrame:
+        return df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, t)))
+
+    ends = told(left, "end").select(*keys, F.col("end").alias("t"), F.lit(1).alias("is_end"))
+    begins = told(right, "begin").select(*keys, F.col("begin").alias("t"), F.lit(0).alias("is_end"))
     ahead = F.sum("is_end").over(Window.partitionBy(*keys).orderBy("t", "is_end").rowsBetween(Window.unboundedPreceding, -1))
     return ends.unionByName(begins).withColumn("n", F.coalesce(ahead, F.lit(0))).where("is_end = 0").groupBy(*keys).agg(F.sum("n").alias("n"))
 

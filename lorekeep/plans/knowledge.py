@@ -94,8 +94,8 @@ FROM o x JOIN o y ON x.c = y.c AND x.k < y.k AND (y.e IS NULL OR x.b <= y.e) AND
 def overlap_open(spark, sf):
     """Orders of a customer that run at one time, where every fiftieth never ends."""
     a = materialize(_spans(spark, sf).withColumn("end", F.when(F.col("k") % 50 != 0, F.col("end"))), "spans")
-    pairs = intervals.overlap_join(a, a.withColumnRenamed("k", "k2"), ["c"], 30 * 86400.0).where("k < k2")
-    return pairs.select("k", "k2", F.col("begin").alias("t_begin"), F.col("end").alias("t_end"))
+    pairs = intervals.overlap_join(a.withColumnRenamed("k", "k1"), a.withColumnRenamed("k", "k2"), ["c"], 30 * 86400.0).where("k1 < k2")
+    return pairs.select(F.col("k1").alias("k"), "k2", F.col("begin").alias("t_begin"), F.col("end").alias("t_end"))
 
 
 @query(f"""WITH {_STORE}, m AS (SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY s, o ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM store),

@@ -67,6 +67,32 @@ def test_tasks_of_a_chain_grow_with_rows_not_with_the_session(spark, monkeypatch
     assert plan.count(", 37), REPARTITION_BY_NUM") == 3
 
 
+@pytest.mark.parametrize("name, dealt", [("allen_relations", 4), ("overlap_join", 1), ("overlap_open", 1)])
+def test_spans_are_dealt_once_for_both_sides(spark, name, dealt):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = registry.QUERIES[name](spark, oracle.FOLDER)
+        oracle.compare(got, oracle.connect(), registry.ORACLES[name])
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ReusedExchange [") == 1 and plan.count("+- Exchange ") == dealt
+
+
+def test_relations_of_orders_without_customer_or_times(spark, tmp_path):
+    day = "TIMESTAMP_NTZ '2000-01-01' + make_dt_interval({})".format
+    orders = [(1, "NULL", 0), (2, "NULL", 100), (3, 7, 0), (4, 7, 50), (5, 7, "NULL"), (6, 7, "NULL"), (7, 7, 10), (8, 8, 3), (9, 8, "NULL")]
+    ships = [(1, 5), (2, 120), (3, 10), (4, 60), (5, 20), (6, "NULL"), (7, 50), (8, "NULL"), (9, 3)]
+    for table, columns, rows in (
+        ("orders", "o_orderkey, o_custkey, o_orderdate", [f"({k}L, CAST({c} AS BIGINT), {day(d)})" for k, c, d in orders]),
+        ("lineitem", "l_orderkey, l_shipdate", [f"({k}L, {day(d)})" for k, d in ships]),
+    ):
+        spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})").coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    got = registry.QUERIES["allen_relations"](spark, str(tmp_path))
+    oracle.compare(got, duckdb_of(tmp_path), registry.ORACLES["allen_relations"])
+    assert {r.relation: r.n for r in got.collect()} == {"before": 2, "after": 2, "meets": 3, "met_by": 3}
+
+
 def duckdb_of(folder):
     import duckdb
 
